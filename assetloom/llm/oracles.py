@@ -34,4 +34,40 @@ SELECT doc_id, size, source_size, target,
 FROM cut
 """
 
-ORACLES = {"op8_mixing": MIXING}
+QUALITY_RULES = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t,
+         CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS host FROM documents),
+words AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs),
+windows AS (
+  SELECT row, unnest(range(1, greatest(len(w) - 1, 1))) AS i,
+         unnest(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM words),
+twice AS (SELECT row, i, count(*) OVER (PARTITION BY row, g) AS c FROM windows),
+repeats AS (
+  SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS p FROM twice WHERE c > 1) GROUP BY row),
+lines AS (SELECT row, doc_id, host, t, unnest(string_split(t, chr(10))) AS line FROM docs),
+worded AS (
+  SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dups AS (SELECT row, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY row),
+normal AS (
+  SELECT row, doc_id, host, t, len(w) AS n,
+         translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line FROM worded),
+frequent AS (
+  SELECT host, line, min(doc_id) AS first FROM normal GROUP BY host, line HAVING count(DISTINCT t) > 20),
+removed AS (
+  SELECT n.row, sum(n.n) AS n FROM normal n JOIN frequent f USING (host, line)
+  WHERE n.doc_id IS DISTINCT FROM f.first GROUP BY n.row),
+counted AS (
+  SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(d.t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(d.t) - length(regexp_replace(d.t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(u.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(x.n, 0) AS BIGINT) AS removed_words
+  FROM words d LEFT JOIN dups u ON d.row = u.row LEFT JOIN repeats r ON d.row = r.row LEFT JOIN removed x ON d.row = x.row),
+judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         n_words - removed_words < CAST(0.25 AS DOUBLE) * n_words AS depleted FROM counted)
+SELECT *, NOT base_failed AND NOT depleted AS kept FROM judged
+"""
+
+ORACLES = {"op8_mixing": MIXING, "op9_quality_rules": QUALITY_RULES}
