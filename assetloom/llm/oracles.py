@@ -70,4 +70,26 @@ judged AS (
 SELECT *, NOT base_failed AND NOT depleted AS kept FROM judged
 """
 
-ORACLES = {"op8_mixing": MIXING, "op9_quality_rules": QUALITY_RULES}
+NEAR_DEDUP = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+         ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM docs),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS i
+  FROM items a JOIN items b ON a.g = b.g AND a.doc_id < b.doc_id
+   AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM shared WHERE 100 * i >= 80 * (nx + ny - i)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS r FROM sets
+  UNION SELECT reach.doc_id, b.y FROM reach JOIN both_ways b ON reach.r = b.x),
+comps AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM sets s JOIN comps c ON s.doc_id = c.doc_id
+"""
+
+ORACLES = {"op10_near_dedup": NEAR_DEDUP, "op8_mixing": MIXING, "op9_quality_rules": QUALITY_RULES}

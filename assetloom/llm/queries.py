@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assetloom.llm import line_quality, mixing, secrets
+from assetloom.llm import line_quality, mixing, near_dedup, secrets
 from assetloom.llm.oracles import ORACLES
 
 
@@ -26,11 +26,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_secret_scan": op2_secret_scan,
         "op8_mixing": op8_mixing,
         "op9_quality_rules": op9_quality_rules,
+        "op10_near_dedup": op10_near_dedup,
     }
 
 
