@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assetloom.llm import line_quality, mixing, near_dedup, packing, secrets, toxicity
+from assetloom.llm import byte_cnn, line_quality, mixing, near_dedup, packing, secrets, toxicity
 from assetloom.llm.oracles import ORACLES
 
 
@@ -29,6 +29,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_quality(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
@@ -48,6 +52,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_secret_scan": op2_secret_scan,
+        "op3_quality": op3_quality,
         "op5_packing": op5_packing,
         "op7_toxicity": op7_toxicity,
         "op8_mixing": op8_mixing,
