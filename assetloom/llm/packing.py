@@ -22,8 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from assetloom.llm.arrow import CHUNK_ROWS, utf8
-from assetloom.llm.wordpieces import WordPieces
+from assetloom.llm.wordpieces import WordPieces, steps
 
 WINDOW = 2048
 END_ID = 1
@@ -143,7 +142,7 @@ def _packer(path: str, window: int, shard_tokens: int, end_id: int):
 
         pieces = WordPieces(path)
         sequence = TaskContext.get().partitionId() << 40
-        end = np.uint16(end_id).tobytes()
+        end = np.uint16(end_id)
         ids: list = []
         docs: list[np.ndarray] = []
         held = 0
@@ -163,11 +162,13 @@ def _packer(path: str, window: int, shard_tokens: int, end_id: int):
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK_ROWS):
-                part = batch.slice(at, CHUNK_ROWS)
-                for doc_id, encoded in zip(part.column("doc_id").to_pylist(), pieces.encode(utf8(part.column("text")))):
-                    ids.append(doc_id)
-                    docs.append(np.frombuffer(encoded + end, np.uint16))
+            texts = batch.column(batch.schema.get_field_index("text"))
+            names = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+            for begin, stop in steps(texts):
+                flat, ends = pieces.encode(texts.slice(begin, stop - begin))
+                for i in range(stop - begin):
+                    ids.append(names[begin + i])
+                    docs.append(np.append(flat[ends[i] : ends[i + 1]], end))
                     held += len(docs[-1])
                     if held >= shard_tokens or len(docs) >= SHARD_DOCS:
                         yield flush()

@@ -1,55 +1,63 @@
 """Ids of a whitespace-dropping BPE tokenizer, whose merges never cross blanks.
 
 Such a tokenizer gives a text the ids of its blank-separated chunks, one after
-the other, so each distinct chunk is encoded once and remembered. Chunks of
-plain letters, digits and marks are further cut into the tokenizer's own
-pre-tokens, which repeat more often; all others are encoded as they stand.
+the other. Arrow kernels split the texts of a batch and find the distinct
+chunks; chunks of plain letters, digits and marks are further cut into the
+tokenizer's own pre-tokens, and only pre-tokens not met before go through the
+tokenizer. Other chunks are encoded as they stand. Ragged gathers put the ids
+of pre-tokens, chunks and texts together, so no Python object is made per word.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Chunks and pre-tokens that a worker remembers (two generations of each).
-CACHE = 400_000
+#: Pre-tokens and other chunks that a worker remembers before it starts anew.
+CACHE = 1_000_000
+#: Bytes of text that are encoded at once.
+STEP_BYTES = 8 << 20
 
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")
-_PRE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]*$"
+_CUT = r"([0-9]|[^a-zß-öø-ÿ0-9]+)"
 
 
-class _Memory:
-    """A dict of two generations: the older goes when the younger is full."""
+def gather(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Concatenates the slices ``which`` of a ragged array; also their new offsets."""
+    starts = offsets[which]
+    sizes = offsets[which + 1] - starts
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    return flat[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)], ends
 
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
 
-    def split(self, keys) -> tuple[dict, list]:
-        """What is known of the keys, and the keys that are not."""
-        known, unknown = {}, []
-        young, old = self.young, self.old
-        for key in keys:
-            value = young.get(key)
-            if value is None:
-                value = old.get(key)
-                if value is None:
-                    unknown.append(key)
-                    continue
-                young[key] = value
-            known[key] = value
-        return known, unknown
+def _lists(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    offsets = np.asarray(column.offsets, np.int64)
+    return column.values.slice(offsets[0], offsets[-1] - offsets[0]), offsets - offsets[0]
 
-    def add(self, new: dict) -> None:
-        self.young.update(new)
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
+
+class _Store:
+    """Ids by key, in one growing ragged array."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.flat, self.offsets, self.size, self.used = np.empty(1 << 16, np.uint16), np.zeros(1 << 12, np.int64), 0, 0
+
+    def add(self, keys: list[str], flat: np.ndarray, ends: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while self.size + len(keys) + 1 > len(self.offsets):
+            self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.offsets[self.size + 1 : self.size + 1 + len(keys)] = self.used + ends
+        self.number.update(zip(keys, range(self.size, self.size + len(keys))))
+        self.size, self.used = self.size + len(keys), self.used + len(flat)
 
 
 class WordPieces:
-    """Encodes texts to little-endian 16-bit ids, without special tokens added."""
+    """Encodes texts to 16-bit ids, without special tokens added."""
 
     def __init__(self, path: str, cache: int = CACHE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -61,54 +69,74 @@ class WordPieces:
             raise ValueError("the vocabulary must have 65,536 ids at most")
         self.ends = np.zeros(0x10000, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.chunks, self.pre = _Memory(cache), _Memory(cache)
-
-    def _whole(self, parts: list[str]) -> list[bytes]:
-        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def _pretokens(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of pre-tokens, encoded many at a time; each ends with an end-of-word id."""
-        out = {}
-        for at in range(0, len(parts), 2000):
-            some = parts[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u2")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                flat, begin = ids.tobytes(), 0
-                for part, end in zip(some, (2 * cuts).tolist()):
-                    out[part] = flat[begin:end]
-                    begin = end
-            else:
-                out.update(zip(some, self._whole(some)))
-        return out
-
-    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        plain: dict[bytes, list[str]] = {}
-        other: list[bytes] = []
-        for chunk in chunks:
-            text = chunk.decode("utf-8", "replace")
-            if _PLAIN.fullmatch(text) and "<|" not in text:
-                plain[chunk] = _PRE.findall(text.lower())
-            else:
-                other.append(chunk)
-        known, unknown = self.pre.split({p for parts in plain.values() for p in parts})
-        new = self._pretokens(unknown)
-        self.pre.add(new)
-        known.update(new)
-        out = {chunk: b"".join([known[p] for p in parts]) for chunk, parts in plain.items()}
-        out.update(zip(other, self._whole([c.decode("utf-8", "replace") for c in other])))
-        return out
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each UTF-8 text as bytes, two to an id."""
-        split = [t.split() for t in texts]
-        distinct: set[bytes] = set()
-        for words in split:
-            distinct.update(words)
-        known, unknown = self.chunks.split(distinct)
-        if unknown:
-            new = self._learn(unknown)
-            self.chunks.add({k: v for k, v in new.items() if len(k) <= 64})
-            known.update(new)
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        self.cache, self.store = cache, _Store()
+
+    def _each(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        ends = np.cumsum([len(x) for x in ids], dtype=np.int64)
+        return np.array([i for x in ids for i in x], np.uint16), ends
+
+    def _numbers(self, keys: list[str], texts: list[str], pretokens: bool) -> np.ndarray:
+        """Places of the keys in the store; new ones are encoded from their texts."""
+        known = self.store.number
+        found = [known.get(k, -1) for k in keys]
+        new = [i for i, n in enumerate(found) if n < 0]
+        for at in range(0, len(new), 4000):
+            some = [texts[i] for i in new[at : at + 4000]]
+            flat = None
+            if pretokens:  # many in one text; each ends with an end-of-word id
+                flat = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint16)
+                ends = np.flatnonzero(self.ends[flat]) + 1
+            if flat is None or len(ends) != len(some):
+                flat, ends = self._each(some)
+            self.store.add([keys[i] for i in new[at : at + 4000]], flat, ends)
+        return np.array([known[k] if n < 0 else n for k, n in zip(keys, found)], np.int64) if new else np.array(found, np.int64)
+
+    def _chunks(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, ragged."""
+        if self.store.size > self.cache:
+            self.store = _Store()
+        plain = pc.and_not(pc.match_substring_regex(chunks, _PLAIN), pc.match_substring(chunks, "<|"))
+        cut = pc.replace_substring_regex(pc.utf8_lower(chunks.filter(plain)), _CUT, r" \1 ")
+        parts, part_ends = _lists(pc.ascii_split_whitespace(cut))
+        coded = parts.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        real = [n for n in names if n]
+        numbers = np.zeros(len(names), np.int64)
+        numbers[[i for i, n in enumerate(names) if n]] = self._numbers(real, real, True)
+        blank = np.array([not n for n in names], bool)
+        piece = np.asarray(coded.indices)
+        keep = ~blank[piece] if len(piece) else np.empty(0, bool)
+        kept = np.concatenate(([0], np.cumsum(keep)))
+        flat, ends = gather(self.store.flat, self.store.offsets, numbers[piece[keep]])
+        plain_ends = ends[kept[part_ends]]
+        others = chunks.filter(pc.invert(plain)).to_pylist()
+        spots = np.asarray(plain.cast(pa.int8())).astype(bool)
+        if not others:
+            return flat, plain_ends
+        more = self._numbers(["\0" + o for o in others], others, False)
+        other_flat, other_ends = gather(self.store.flat, self.store.offsets, more)
+        order = np.empty(len(chunks), np.int64)
+        order[spots] = np.arange(spots.sum())
+        order[~spots] = spots.sum() + np.arange(len(others))
+        both_ends = np.concatenate([plain_ends, plain_ends[-1] + other_ends[1:]])
+        return gather(np.concatenate([flat, other_flat]), both_ends, order)
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the offsets of each text's ids; null is empty."""
+        words, ends = _lists(pc.ascii_split_whitespace(pc.fill_null(texts, "")))
+        coded = words.dictionary_encode()
+        flat, chunk_ends = self._chunks(coded.dictionary)
+        ids, word_ends = gather(flat, chunk_ends, np.asarray(coded.indices, np.int64))
+        return ids, word_ends[ends]
+
+
+def steps(texts: pa.StringArray, most: int = STEP_BYTES):
+    """Ranges of rows whose texts have about ``most`` bytes together."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0)
+    upto = np.cumsum(np.asarray(sizes, np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield at, min(end, len(texts))
+        at = end
