@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from array import array
+from collections import Counter
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -31,16 +33,18 @@ from assetloom.llm.arrow import map_chunks
 from assetloom.llm.labelled import fold, labelled_sample
 
 FOLDS, HELD_OUT = 5, 0
-SAMPLE = 8_000
+SAMPLE = 4_000
 CUT = 0.5
 MINED = 48
 FEATURES = 1_500
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 #: Rate of a mined feature at which its voter speaks.
 DENSE = 0.008
 WORD = re.compile(r"\w+")
 #: A word's beginnings of these lengths are features, besides the word itself.
 STEMS = range(4, 9)
+#: Hashed features.
+BUCKETS = 1 << 20
 
 #: Fixed word lists of the lexicon voters.
 LEXICONS = {
@@ -60,74 +64,89 @@ PATTERNS = {
 }
 
 
-def word_counts(text: str) -> Counter:
-    return Counter(WORD.findall(text.lower()))
-
-
-def stems(word: str) -> list[str]:
-    """The features of a word: itself, and its beginnings marked as such."""
-    return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n)]
+def stems(word: str) -> list[int]:
+    """Hashed features of a word: itself, and its beginnings marked as such."""
+    whole = word.encode()
+    return [crc32(whole) % BUCKETS, *(crc32(word[:n].encode(), 1) % BUCKETS for n in STEMS if len(word) >= n)]
 
 
 class Sample:
-    """Words of the sample's distinct texts, and the rates of their features."""
+    """The sample's distinct texts as rates of hashed features, by feature.
+
+    ``rows(f)`` and ``hits(f)`` are the texts with feature ``f`` and how often
+    each has it. Texts themselves are not kept.
+    """
 
     def __init__(self, texts: list[str], labels: list[int]):
         first: dict[str, int] = {}
         for text, label in zip(texts, labels):
             first[text] = max(first.get(text, 0), label)
-        self.texts = list(first)
         self.y = np.array(list(first.values()), float)
-        self.counts = [word_counts(t) for t in self.texts]
-        self.words = np.array([max(1, sum(c.values())) for c in self.counts], float)
-
-    def features(self) -> dict[str, dict[int, int]]:
-        """Feature -> {document: occurrences}, of features in 3 documents or more."""
-        of_word: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for i, counts in enumerate(self.counts):
+        listed = {name: set(words.split()) for name, words in LEXICONS.items()}
+        of_word: dict[str, array] = {}
+        doc, feature, count, words = array("i"), array("i"), array("i"), []
+        lexicon, pattern = [], []
+        for i, text in enumerate(first):
+            counts = Counter(WORD.findall(text.lower()))
+            words.append(max(1, counts.total()))
+            lexicon.append([sum(counts[w] for w in own if w in counts) for own in listed.values()])
+            pattern.append([1 if p.search(text) else 0 for p in PATTERNS.values()])
             for word, n in counts.items():
-                of_word[word].append((i, n))
-        docs_of: Counter = Counter()
-        for word, rows in of_word.items():
-            for f in stems(word):
-                docs_of[f] += len(rows)
-        out: dict[str, dict[int, int]] = {}
-        for word, rows in of_word.items():
-            for f in stems(word):
-                if docs_of[f] >= 3:
-                    own = out.setdefault(f, {})
-                    for i, n in rows:
-                        own[i] = own.get(i, 0) + n
-        return {f: rows for f, rows in out.items() if len(rows) >= 3}
-
-
-def ranked_features(sample: Sample, features: dict[str, dict[int, int]], target: np.ndarray) -> list[tuple[float, str]]:
+                own = of_word.get(word)
+                if own is None:
+                    if len(of_word) > WORD_CACHE:
+                        of_word.clear()
+                    own = of_word[word] = array("i", stems(word))
+                feature.extend(own)
+                doc.extend([i] * len(own))
+                count.extend([n] * len(own))
+        self.n = len(first)
+        self.words = np.array(words, float)
+        self.lexicon, self.pattern = np.array(lexicon, float).reshape(self.n, -1), np.array(pattern, int).reshape(self.n, -1)
+        key = np.frombuffer(feature, np.int32).astype(np.int64) * self.n + np.frombuffer(doc, np.int32)
+        del feature, doc, of_word
+        order = np.argsort(key)
+        key, count = key[order], np.frombuffer(count, np.int32)[order]
+        del order
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, int)
+        self.count = np.add.reduceat(count, begin) if len(begin) else np.empty(0, np.int32)
+        key = key[begin]
+        self.doc, owner = (key % self.n).astype(np.int32), (key // self.n).astype(np.int32)
+        self.starts = np.searchsorted(owner, np.arange(BUCKETS + 1))
+
+    def rows(self, f: int) -> np.ndarray:
+        return self.doc[self.starts[f] : self.starts[f + 1]]
+
+    def hits(self, f: int) -> np.ndarray:
+        return self.count[self.starts[f] : self.starts[f + 1]]
+
+
+def ranked_features(sample: Sample, target: np.ndarray) -> list[tuple[float, int]]:
     """Features by how sure it is that their rate differs between the classes, the surest first."""
-    docs = np.array([(1 - target).sum(), target.sum()]) + 1
-    out = []
-    for f, rows in features.items():
-        at = np.fromiter(rows, int, len(rows))
-        rate = np.minimum(np.fromiter(rows.values(), float, len(rows)) / sample.words[at], 0.05)
-        t = target[at]
-        pos, neg = (rate * t).sum() / docs[1], (rate * (1 - t)).sum() / docs[0]
-        have = np.array([(1 - t).sum(), t.sum()])
-        share = (have + 0.5) / docs
-        sure = abs(share[1] - share[0]) / math.sqrt((share * (1 - np.minimum(share, 0.99)) / docs).sum())
-        lift = math.log((pos + 1e-6) / (neg + 1e-6))
-        out.append((lift * sure if have.sum() >= 4 else 0.0, f))
-    return sorted(out, key=lambda x: (-abs(x[0]), x[1]))
-
-
-def mine(sample: Sample, table: dict[str, dict[int, int]], ranked: list[tuple[float, str]], size: int, enough: int = 3) -> list[str]:
+    used = np.flatnonzero(np.diff(sample.starts) >= 4)
+    owner = np.repeat(np.arange(BUCKETS), np.diff(sample.starts))
+    rate = np.minimum(sample.count / sample.words[sample.doc], 0.05)
+    t = target[sample.doc]
+    total = np.array([(1 - target).sum(), target.sum()]) + 1
+    sums = lambda w: np.bincount(owner, w, BUCKETS)[used]
+    share = [(sums(1 - t) + 0.5) / total[0], (sums(t) + 0.5) / total[1]]
+    sure = np.abs(share[1] - share[0]) / np.sqrt(sum(x * (1 - np.minimum(x, 0.99)) / n for x, n in zip(share, total)))
+    lift = np.log((sums(rate * t) / total[1] + 1e-6) / (sums(rate * (1 - t)) / total[0] + 1e-6))
+    gain = lift * sure
+    order = np.lexsort((used, -np.abs(gain)))
+    return list(zip(gain[order].tolist(), used[order].tolist()))
+
+
+def mine(sample: Sample, ranked: list[tuple[float, int]], size: int, enough: int = 3) -> list[int]:
     """Toxic features for voters: the surest ones that still reach texts with fewer than ``enough`` of them."""
-    covered = np.zeros(len(sample.texts), int)
-    out: list[str] = []
+    covered = np.zeros(sample.n, int)
+    out: list[int] = []
     seen: set[bytes] = set()
     for gain, f in ranked:
         if gain <= 0 or len(out) == size:
             continue
-        at = np.fromiter(table[f], int, len(table[f]))
-        dense = at[np.fromiter(table[f].values(), float, len(at)) / sample.words[at] >= DENSE]
+        at = sample.rows(f)
+        dense = at[sample.hits(f) / sample.words[at] >= DENSE]
         hits = dense[sample.y[dense] > 0]
         if len(hits) >= 4 and dense.tobytes() not in seen and 2 * len(hits) > len(dense) and (covered[hits] < enough).mean() >= 0.3:
             out.append(f)
@@ -136,29 +155,18 @@ def mine(sample: Sample, table: dict[str, dict[int, int]], ranked: list[tuple[fl
     return out
 
 
-def votes(sample: Sample, mined: list[tuple[str, dict[int, int]]]) -> tuple[np.ndarray, list[str]]:
+def votes(sample: Sample, mined: list[int]) -> np.ndarray:
     """Matrix of votes: 1 toxic, -1 clean, 0 abstains."""
-    names, columns = [], []
-    any_hit = np.zeros(len(sample.texts))
-    for name, words in LEXICONS.items():
-        listed = set(words.split())
-        hits = np.array([sum(n for w, n in c.items() if w in listed) for c in sample.counts], float)
-        any_hit += hits
-        names.append(name)
-        columns.append(np.where(hits >= 1, 1, 0))
-    for name, pattern in PATTERNS.items():
-        names.append(name)
-        columns.append(np.array([1 if pattern.search(t) else 0 for t in sample.texts]))
-    for f, rows in mined:
-        hits = np.zeros(len(sample.texts))
-        hits[list(rows)] = list(rows.values())
+    columns = [np.where(sample.lexicon >= 1, 1, 0), sample.pattern]
+    any_hit = sample.lexicon.sum(axis=1)
+    for f in mined:
+        hits = np.zeros(sample.n)
+        hits[sample.rows(f)] = sample.hits(f)
         any_hit += hits
-        names.append(f)
         columns.append(np.where((hits >= 1) & (hits / sample.words >= DENSE), 1, 0))
     rate = any_hit / sample.words
-    names += ["dense", "silent", "sparse"]
-    columns += [np.where((rate >= 0.012) & (any_hit >= 2), 1, 0), np.where(any_hit == 0, -1, 0), np.where((any_hit > 0) & (rate < DENSE), -1, 0)]
-    return np.stack(columns, axis=1), names
+    columns += [np.where((rate >= 1.5 * DENSE) & (any_hit >= 2), 1, 0), np.where(any_hit == 0, -1, 0), np.where((any_hit > 0) & (rate < DENSE), -1, 0)]
+    return np.column_stack(columns)
 
 
 class LabelModel:
@@ -201,16 +209,14 @@ class LabelModel:
 class Linear:
     """Logistic score of the rates of words, as one weight per feature."""
 
-    def __init__(self, weights: dict[str, float], bias: float):
+    def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias = weights, bias
         self.known: dict[str, float] = {}
 
     def word(self, word: str) -> float:
-        value = self.known.get(word)
-        if value is None:
-            if len(self.known) > WORD_CACHE:
-                self.known.clear()
-            value = self.known[word] = sum(self.weights.get(f, 0.0) for f in stems(word))
+        if len(self.known) > WORD_CACHE:
+            self.known.clear()
+        value = self.known[word] = sum(self.weights.get(f, 0.0) for f in stems(word))
         return value
 
     def score(self, text: str) -> float:
@@ -223,12 +229,11 @@ class Linear:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def train_linear(sample: Sample, chosen: list[str], features: dict[str, dict[int, int]], target: np.ndarray, rounds: int = 400, l2: float = 2e-4) -> Linear:
+def train_linear(sample: Sample, chosen: list[int], target: np.ndarray, rounds: int = 400, l2: float = 2e-4) -> Linear:
     """Logistic regression on soft labels by accelerated gradient steps."""
-    rows = np.concatenate([np.fromiter(features[f], np.int64, len(features[f])) for f in chosen])
-    cols = np.repeat(np.arange(len(chosen)), [len(features[f]) for f in chosen])
-    vals = np.concatenate([np.fromiter(features[f].values(), float, len(features[f])) for f in chosen])
-    vals = 100 * np.minimum(vals / sample.words[rows], 0.05)
+    rows = np.concatenate([sample.rows(f) for f in chosen])
+    cols = np.repeat(np.arange(len(chosen)), [len(sample.rows(f)) for f in chosen])
+    vals = 100 * np.minimum(np.concatenate([sample.hits(f) for f in chosen]) / sample.words[rows], 0.05)
     n, k = len(target), len(chosen)
     spread = np.sqrt(np.bincount(cols, vals**2, k) / n) + 0.05
     vals = vals / spread[cols]
@@ -249,13 +254,13 @@ def train_linear(sample: Sample, chosen: list[str], features: dict[str, dict[int
         last_w, last_b = w, b
         w = yw - rate * (np.bincount(cols, vals * err[rows], k) / n + l2 * yw)
         b = yb - rate * err.mean()
-    return Linear(dict(zip(chosen, w / spread)), float(b))
+    return Linear(dict(zip(chosen, (w / spread).tolist())), float(b))
 
 
 def lexicon_model() -> Linear:
     """The scorer without a sample: any insult of the fixed lists."""
     words = {w for name, x in LEXICONS.items() if name != "threat" for w in x.split()}
-    return Linear({w: 4.0 for w in words}, -3.0)
+    return Linear({stems(w)[0]: 4.0 for w in words}, -3.0)
 
 
 def fit(texts: list[str], labels: list[int], mined: int = MINED, features: int = FEATURES) -> Linear:
@@ -263,15 +268,12 @@ def fit(texts: list[str], labels: list[int], mined: int = MINED, features: int =
     sample = Sample(texts, labels)
     if len(set(sample.y)) < 2:
         return lexicon_model()
-    table = sample.features()
-    ranked = ranked_features(sample, table, sample.y)
-    toxic = [(f, table[f]) for f in mine(sample, table, ranked, mined)]
-    v, _ = votes(sample, toxic)
+    v = votes(sample, mine(sample, ranked_features(sample, sample.y), mined))
     # the given label is a voter too, with an accuracy of its own
     v = np.column_stack([v, np.where(sample.y > 0, 1, -1)])
     posterior = LabelModel().fit(v, sample.y)
-    chosen = [f for gain, f in ranked_features(sample, table, posterior) if gain][:features]
-    return train_linear(sample, chosen, table, posterior) if chosen else lexicon_model()
+    chosen = [f for gain, f in ranked_features(sample, posterior) if gain][:features]
+    return train_linear(sample, chosen, posterior) if chosen else lexicon_model()
 
 
 def _scorer(weights: dict[str, float], bias: float):
