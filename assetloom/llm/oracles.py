@@ -92,4 +92,22 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_i
 FROM sets s JOIN comps c ON s.doc_id = c.doc_id
 """
 
-ORACLES = {"op10_near_dedup": NEAR_DEDUP, "op8_mixing": MIXING, "op9_quality_rules": QUALITY_RULES}
+TOPK_SEARCH = r"""
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+         CAST(coalesce(list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+ORACLES = {
+    "op4_topk_search": TOPK_SEARCH,
+    "op8_mixing": MIXING,
+    "op9_quality_rules": QUALITY_RULES,
+    "op10_near_dedup": NEAR_DEDUP,
+}
