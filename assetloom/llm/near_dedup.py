@@ -14,8 +14,9 @@ Groups of any size are handled without all their pairs:
 2. In each band bucket, all classes are compared with one centre, the class
    that shares most buckets (for copies of one text that is the original).
 3. Buckets whose classes are by then in one component are finished. In the
-   others every pair across components is compared, small buckets by a join,
-   large ones in tiles: rows outside the largest component against all rows.
+   others every pair across components is compared: small buckets by a join,
+   large ones in tiles of full sets, in which the rows outside the largest
+   component meet all rows and only links come out.
 
 Rows: null or wordless texts have an empty set and link with nothing; a text
 shorter than a shingle is one shingle; repeated rows come out once each, with
@@ -45,11 +46,12 @@ MANTISSA = 10
 SLACK = 0.18
 #: Sets below this size have too few independent registers for the estimate to discard.
 SURE_SIZE = 192
-SMALL_BUCKET = 64
-TILE_OTHERS, TILE_ROWS = 512, 4096
+SMALL_BUCKET = 32
+#: Shingles of a tile's rows, and of the rows outside the largest component that meet them.
+TILE_ROWS, TILE_OUTSIDE = 1_000_000, 250_000
 #: Ids up to this number may be broadcast (8 bytes each); more go through a shuffle.
 BROADCAST_IDS = 500_000
-WORD_CACHE = 500_000
+WORD_CACHE = 200_000
 
 _rng = np.random.default_rng(20)
 _RANK = np.argsort(_rng.random((BUCKETS, BUCKETS)), axis=1).argsort(axis=1).astype(np.int16)
@@ -200,25 +202,39 @@ def _possible_step(threshold: int):
     return make
 
 
-def _tile_pairs(threshold: int):
-    """Pairs of one tile, across components, that the sketches do not rule out."""
+def _tile_links(threshold: int):
+    """Links across components between one tile's outsiders and its rows, on full sets.
+
+    An inverted index over the rows' shingles counts all intersections of an
+    outsider at once. It is linked once with each component it reaches.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        role = np.asarray(table["other"])
-        ids, comps, sizes = (np.asarray(table[c]) for c in ("nid", "comp", "n"))
-        sketches = _sketches(table["sketch"].combine_chunks())
-        rows = np.flatnonzero(~role)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in np.flatnonzero(role):
-            near = rows[(comps[rows] != comps[i]) & (100 * np.minimum(sizes[rows], sizes[i]) >= threshold * np.maximum(sizes[rows], sizes[i]))]
-            for at in range(0, len(near), 2048):
-                part = near[at : at + 2048]
-                one = np.broadcast_to(sketches[i], (len(part), BUCKETS))
-                good = part[possible(sketches[part], one, sizes[part], np.full(len(part), sizes[i]), threshold)]
-                found.append((np.minimum(ids[good], ids[i]), np.maximum(ids[good], ids[i])))
-        a = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.int64)
-        b = np.concatenate([x for _, x in found]) if found else np.empty(0, np.int64)
-        return pa.table({"a": a, "b": b})
+        sets = table["shingles"].combine_chunks()
+        flat, starts = np.asarray(sets.flatten()), np.concatenate(([0], np.cumsum(np.diff(np.asarray(sets.offsets)))))
+        ids, comps, outside = np.asarray(table["nid"]), np.asarray(table["comp"]), np.asarray(table["other"])
+        sizes = np.diff(starts)
+        rows = np.flatnonzero(~outside)
+        links_a, links_b = [], []
+        if len(rows) and outside.any():
+            shingles = np.concatenate([flat[starts[r] : starts[r + 1]] for r in rows])
+            owners = np.repeat(np.arange(len(rows)), sizes[rows])
+            order = np.argsort(shingles, kind="stable")
+            shingles, owners = shingles[order], owners[order]
+            for i in np.flatnonzero(outside):
+                own = flat[starts[i] : starts[i + 1]]
+                lo, hi = np.searchsorted(shingles, own, "left"), np.searchsorted(shingles, own, "right")
+                hit = [owners[p:q] for p, q in zip(lo.tolist(), hi.tolist()) if q > p]
+                if not hit:
+                    continue
+                common = np.bincount(np.concatenate(hit), minlength=len(rows))
+                good = rows[100 * common >= threshold * (sizes[rows] + sizes[i] - common)]
+                good = good[comps[good] != comps[i]]
+                good = good[np.unique(comps[good], return_index=True)[1]]
+                links_a.append(np.minimum(ids[good], ids[i]))
+                links_b.append(np.maximum(ids[good], ids[i]))
+        join = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int64)
+        return pa.table({"a": join(links_a), "b": join(links_b)})
 
     return run
 
@@ -269,20 +285,41 @@ class _Join:
             F.least("nid", "nid2").alias("a"), F.greatest("nid", "nid2").alias("b")
         )
 
-    def large_pairs(self, rows: DataFrame) -> DataFrame:
+    def large_links(self, rows: DataFrame) -> DataFrame:
+        """Links across components inside the large buckets.
+
+        Buckets with the same largest component are treated as one group, in
+        which every row outside that component meets every row. Tiles hold a
+        bounded number of shingles.
+        """
         rows = rows.where(F.col("c") > SMALL_BUCKET)
         per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-        main = per.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all_rows"))
-        main = main.select(
-            "key", F.col("top.comp").alias("main"),
-            F.ceil((F.col("all_rows") - F.col("top.m")) / TILE_OTHERS).cast("int").alias("ot"),
-            F.ceil(F.col("all_rows") / TILE_ROWS).cast("int").alias("rt"),
+        main = per.groupBy("key").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"))
+        members = rows.join(main, "key").select("main", "nid", "comp").distinct()
+        members = self.scratch.save(members.join(self.classes.select("nid", "n"), "nid"), "members")
+        tiles = members.groupBy("main").agg(
+            F.ceil(F.sum(F.when(F.col("comp") != F.col("main"), F.col("n")).otherwise(0)) / TILE_OUTSIDE).cast("int").alias("ot"),
+            F.ceil(F.sum("n") / TILE_ROWS).cast("int").alias("rt"),
         )
-        wide = rows.join(main, "key").join(self.classes.select("nid", "n", "sketch"), "nid")
+        wide = members.join(tiles, "main").join(self.sets_of(members.select("nid").distinct(), "large"), "nid")
         spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        as_row = wide.select("key", "nid", "comp", "n", "sketch", F.lit(False).alias("other"), spread("ot").alias("o"), F.pmod(F.xxhash64("nid"), F.col("rt")).cast("int").alias("r"))
-        as_other = wide.where("comp <> main").select("key", "nid", "comp", "n", "sketch", F.lit(True).alias("other"), F.pmod(F.xxhash64(F.lit(7), "nid"), F.col("ot")).cast("int").alias("o"), spread("rt").alias("r"))
-        return as_row.unionByName(as_other).groupBy("key", "o", "r").applyInArrow(_tile_pairs(self.threshold), "a long, b long")
+        part = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "nid"), F.col(n)).cast("int")
+        row = wide.select("main", "nid", "comp", "shingles", F.lit(False).alias("other"), spread("ot").alias("o"), part(1, "rt").alias("r"))
+        outside = wide.where("comp <> main").select(
+            "main", "nid", "comp", "shingles", F.lit(True).alias("other"), part(2, "ot").alias("o"), spread("rt").alias("r")
+        )
+        return row.unionByName(outside).groupBy("main", "o", "r").applyInArrow(_tile_links(self.threshold), "a long, b long")
+
+    def sets_of(self, nodes: DataFrame, name: str) -> DataFrame:
+        """``nid, shingles`` of the given classes, from the text of their representatives."""
+        ends = self.scratch.save(nodes.join(self.classes.select("nid", "rep", "set_key"), "nid"), f"{name}-ends")
+        ids = ends.select("rep").distinct()
+        if ends.count() <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+        texts = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["rep"]), "left_semi")
+        sets = map_chunks(texts, _set_step(self.shingle), "set_key binary, shingles array<long>")
+        sets = ends.join(sets.dropDuplicates(["set_key"]), "set_key").select("nid", "shingles")
+        return self.scratch.save(sets, f"{name}-sets")
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs that sizes and sketches do not rule out."""
@@ -293,21 +330,13 @@ class _Join:
     def linked(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs whose full sets reach the threshold."""
         pairs = self.scratch.save(pairs, f"{name}-likely")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(self.classes.select("nid", "rep", "set_key"), "nid")
-        ends = self.scratch.save(ends, f"{name}-ends")
-        ids = ends.select("rep").distinct()
-        if ends.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        texts = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["rep"]), "left_semi")
-        sets = map_chunks(texts, _set_step(self.shingle), "set_key binary, shingles array<long>")
-        sets = ends.join(sets.dropDuplicates(["set_key"]), "set_key").select("nid", "shingles")
-        sets = self.scratch.save(sets, f"{name}-sets")
+        sets = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), name)
         both = pairs.join(sets.select(F.col("nid").alias("a"), F.col("shingles").alias("x")), "a").join(
             sets.select(F.col("nid").alias("b"), F.col("shingles").alias("y")), "b"
         )
         common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("t"))
         out = self.scratch.save(common.where(100 * F.col("i") >= self.threshold * (F.col("t") - F.col("i"))).select("a", "b"), name)
-        self.scratch.drop(pairs, ends, sets)
+        self.scratch.drop(pairs, sets)
         return out
 
     def links(self) -> DataFrame:
@@ -315,11 +344,11 @@ class _Join:
         first = self.linked(self.likely(self.star_pairs(live)), "star")
         comps = connected_components(first, "a", "b")
         rows = self.open_rows(live, comps)
-        pairs = self.small_pairs(rows)
+        self.scratch.drop(live)
+        links = first.unionByName(self.linked(self.likely(self.small_pairs(rows)), "rest"))
         if not rows.where(F.col("c") > SMALL_BUCKET).isEmpty():
-            pairs = pairs.unionByName(self.large_pairs(rows))
-        second = self.linked(self.likely(pairs), "rest")
-        return first.unionByName(second)
+            links = links.unionByName(self.scratch.save(self.large_links(rows), "large"))
+        return links
 
     def result(self) -> DataFrame:
         comps = self.scratch.save(connected_components(self.links(), "a", "b"), "comps")
@@ -350,6 +379,11 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
 
     Rows that repeat an id are one document, of which one row stays.
     """
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("kept_id"))
-    stays = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return stays.dropDuplicates(["doc_id"])
+    scratch = Scratch(docs.sparkSession, "kept")
+    by_id = near_duplicates(docs, **options).groupBy("doc_id").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    by_id = scratch.save(by_id, "by-id")
+    gone = by_id.where(~F.col("stays")).select(F.col("doc_id").alias("gone_id"))
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    stays = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    return stays if by_id.where("n > 1").isEmpty() else stays.dropDuplicates(["doc_id"])
