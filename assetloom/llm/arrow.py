@@ -6,12 +6,26 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Rows of one call at most, so that what a call builds stays small.
 CHUNK_ROWS = 512
+#: Bytes of one Arrow batch between the JVM and Python at most. The default of
+#: 64 MB makes buffers of several times that in each task.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's size of Arrow batches to ``BATCH_BYTES``; never raises it.
+
+    Spark reads this setting when a plan is made, so it stays set.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if now > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def utf8(column) -> list[bytes]:
@@ -26,6 +40,7 @@ def map_chunks(df: DataFrame, make: Callable[[], Callable], schema: str | Struct
 
     ``make`` runs once for each task and returns that function.
     """
+    bound_batches(df.sparkSession)
     kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
 

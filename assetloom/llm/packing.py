@@ -20,8 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from assetloom.llm.arrow import bound_batches
 from assetloom.llm.wordpieces import WordPieces, steps
 
 WINDOW = 2048
@@ -189,9 +190,15 @@ def pack(
     followed by ``end_id``.
     """
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    bound_batches(docs.sparkSession)
     return given.mapInArrow(_packer(tokenizer, window, shard_tokens, end_id), PIECES)
 
 
+def checksum(ids: str) -> Column:
+    """CRC-32 of a piece's ids."""
+    return F.crc32(ids)
+
+
 def digest(pieces: DataFrame) -> DataFrame:
     """The pieces with a checksum in place of the ids."""
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", checksum("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -29,7 +29,7 @@ from zlib import crc32
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from assetloom.llm.arrow import map_chunks
+from assetloom.llm.arrow import bound_batches, map_chunks
 from assetloom.llm.labelled import fold, labelled_sample
 
 FOLDS, HELD_OUT = 5, 0
@@ -317,6 +317,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(np_mask([scorer.score(t or "") < CUT for t in texts]))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
