@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from assetloom.storage import Scratch
+
 WORD = r"[^\x20\x09-\x0D]++"
 BLANKS = "\t\n\x0b\f\r"
 WEIGHTS = (3, 1, 2)
@@ -64,27 +66,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
     return run.select("source", "source_size", target.alias("target"))
 
 
-def mix(
-    docs: DataFrame,
-    text: str = "text",
-    doc_id: str = "doc_id",
-    source: str = "source",
-    weights: tuple[int, ...] = WEIGHTS,
-    seed: str = "mix-1",
-    rows_per_range: int = 20_000,
-    carry: tuple[str, ...] = (),
-) -> DataFrame:
-    """Return ``doc_id, size, source_size, target, taken`` for every row.
+def order_key(doc_id: Column, seed: str) -> Column:
+    """The hash-random key of a document."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
-    ``taken`` counts words with repeats: whole epochs of the source, then, in
-    key order, one more pass that stops at the exact rest of the budget (whole
-    words; the document at the cut gives its leading words). ``carry`` names
-    further columns to pass through.
-    """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+
+def _placed(docs: DataFrame, text: str, doc_id: str, source: str, weights: tuple[int, ...], seed: str, rows_per_range: int) -> DataFrame:
+    """Every row with its source's epochs, and the words that the last pass takes of it."""
     rows = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
-        key.alias("key"), *[F.col(c).alias(f"carry_{c}") for c in carry],
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), order_key(F.col(doc_id), seed).alias("key")
     )
     n = docs.select(F.count(F.lit(1)).alias("n")).first()["n"]
     digits = 2
@@ -92,7 +82,7 @@ def mix(
         digits += 1
     rows = rows.withColumn("range", F.substring("key", 1, digits))
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    targets = source_targets(sums.groupBy("source").agg(F.sum("range_size").cast("long").alias("source_size")))
+    targets = source_targets(sums.groupBy("source").agg(F.sum("range_size").cast("long").alias("source_size")), weights)
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("offset", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
     plan = offsets.join(targets, offsets["source"].eqNullSafe(targets["source"])).select(
@@ -105,15 +95,31 @@ def mix(
         plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("range") == F.col("p_range"))
     )
     budget = F.floor("target")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size")
     start = F.col("offset") + F.col("upto") - F.col("size")
-    once_more = F.least(F.col("size"), F.greatest(F.lit(0), rest - start))
-    taken = (epochs * F.col("size") + once_more).cast("long")
-    return placed.select(
-        "doc_id", "size", "source_size", "target", taken.alias("taken"),
-        *[F.col(f"carry_{c}").alias(c) for c in carry],
-    )
+    once_more = F.least(F.col("size"), F.greatest(F.lit(0), rest - start)).cast("long")
+    return placed.select("source", "key", "doc_id", "size", "source_size", "target", epochs.alias("epochs"), once_more.alias("once_more"))
+
+
+def mix(
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    source: str = "source",
+    weights: tuple[int, ...] = WEIGHTS,
+    seed: str = "mix-1",
+    rows_per_range: int = 20_000,
+) -> DataFrame:
+    """Return ``doc_id, size, source_size, target, taken`` for every row.
+
+    ``taken`` counts words with repeats: whole epochs of the source, then, in
+    key order, one more pass that stops at the exact rest of the budget (whole
+    words; the document at the cut gives its leading words).
+    """
+    placed = _placed(docs, text, doc_id, source, weights, seed, rows_per_range)
+    taken = F.col("epochs") * F.col("size") + F.col("once_more")
+    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def leading_words(text: Column, n: Column) -> Column:
@@ -132,24 +138,59 @@ def leading_words(text: Column, n: Column) -> Column:
     return F.substring(text, F.lit(1), F.greatest(upto, F.lit(0)).cast("int"))
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
+#: Sources up to this number may be broadcast (a row of fixed size each); more go through a shuffle.
+BROADCAST_SOURCES = 100_000
+
+
+def mix_documents(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS,
+    seed: str = "mix-1", rows_per_range: int = 20_000,
+) -> DataFrame:
     """The mixture itself, with the columns of ``docs``.
 
     A document comes once for each epoch that takes it whole, and once more
     with its leading words if the cut falls inside it; documents that are not
     taken, and those without words, go. ``n_chars``, if there, follows the text.
+
+    The prefix sums give each source's last document before the cut and the
+    one at it, so texts are compared with these in place and never shuffled.
+    Rows that repeat the document at the cut all stay with it.
     """
-    columns = docs.columns
-    keep = tuple(c for c in columns if c != "doc_id")
-    mixed = mix(docs, carry=keep, **options).where("taken > 0")
-    full = F.floor(F.col("taken") / F.col("size")).cast("long")
-    part = F.col("taken") - full * F.col("size")
+    place = F.struct("key", "doc_id", "size")
+    full = F.col("once_more") == F.col("size")
+    cuts = _placed(docs, text, doc_id, source, weights, seed, rows_per_range).where("size > 0").groupBy("source").agg(
+        F.max("epochs").alias("epochs"), F.max(F.when(full, place)).alias("last"), F.max(F.when(~full & (F.col("once_more") > 0), place)).alias("part"),
+        F.max(F.when(~full, F.col("once_more"))).alias("part_words"),
+    )
+    names = docs.columns
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("given"))
+    body, size = F.col("given")[text], word_count(F.col("given")[text])
+    own = F.struct(order_key(F.col("given")[doc_id], seed).alias("key"), F.col("given")[doc_id].alias("doc_id"), size.alias("size"))
+    rows = given.withColumn("own", own).where("own.size > 0")
+    scratch = Scratch(docs.sparkSession, "mix")
+    cuts = scratch.save(cuts, "cuts")
+    if cuts.count() <= BROADCAST_SOURCES:
+        cuts = F.broadcast(cuts)
+    rows = rows.join(cuts, F.col("given")[source].eqNullSafe(cuts["source"]))
+    whole = F.col("epochs") + F.coalesce(F.col("own") <= F.col("last"), F.lit(False)).cast("long")
+    cut_here = F.coalesce((F.col("own") == F.col("part")) & (F.col("own") != F.coalesce("last", own_nothing())), F.lit(False))
     copies = F.concat(
-        F.array_repeat(F.lit(0).cast("long"), full.cast("int")),
-        F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")),
+        F.array_repeat(F.lit(0).cast("long"), whole.cast("int")),
+        F.when(cut_here, F.array("part_words")).otherwise(F.array().cast("array<bigint>")),
     )
-    out = mixed.withColumn("cut", F.explode(copies))
-    out = out.withColumn("text", F.when(F.col("cut") > 0, leading_words(F.col("text"), F.col("cut"))).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("cut") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    out = rows.withColumn("cut", F.explode(copies))
+    new_text = F.when(F.col("cut") > 0, leading_words(body, F.col("cut"))).otherwise(body)
+    columns = []
+    for c in names:
+        value = F.col("given")[c]
+        if c == text:
+            value = new_text
+        elif c == "n_chars":
+            value = F.when(F.col("cut") > 0, F.length(new_text).cast(docs.schema[c].dataType)).otherwise(value)
+        columns.append(value.alias(c))
     return out.select(*columns)
+
+
+def own_nothing() -> Column:
+    """A place before all others."""
+    return F.struct(F.lit("").alias("key"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("size"))

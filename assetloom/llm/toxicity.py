@@ -172,8 +172,8 @@ def votes(sample: Sample, mined: list[int]) -> np.ndarray:
 class LabelModel:
     """Class-conditional votes by EM; correlated voters share their evidence."""
 
-    def __init__(self, rounds: int = 15, linked: float = 0.35):
-        self.rounds, self.linked = rounds, linked
+    def __init__(self, rounds: int = 200, linked: float = 0.35, settled: float = 1e-4):
+        self.rounds, self.linked, self.settled = rounds, linked, settled
 
     def fit(self, v: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Posterior of class 1 per row. ``start`` begins the EM (labels or a guess)."""
@@ -186,11 +186,13 @@ class LabelModel:
             prior = np.clip(both.sum(axis=1) / n, 0.01, 0.99)
             table = np.einsum("cn,nmk->cmk", both, one_hot) + 0.5
             self.table = table / table.sum(axis=2, keepdims=True)
-            if step in (0, self.rounds // 2):
+            if step in (0, 10):
                 self.share = self._shares(v, p)
             ratio = np.log(self.table[1]) - np.log(self.table[0])
             z = math.log(prior[1] / prior[0]) + np.einsum("nmk,mk,m->n", one_hot, ratio, self.share)
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            last, p = p, 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            if step > 10 and np.abs(p - last).max() < self.settled:
+                break
         self.prior = prior
         return p
 
@@ -265,6 +267,8 @@ def lexicon_model() -> Linear:
 
 def fit(texts: list[str], labels: list[int], mined: int = MINED, features: int = FEATURES) -> Linear:
     """The linear classifier of a labelled sample; see the module's text."""
+    if len(set(labels)) < 2:
+        return lexicon_model()
     sample = Sample(texts, labels)
     if len(set(sample.y)) < 2:
         return lexicon_model()
