@@ -129,7 +129,23 @@ def fit_formats(extracted: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, A
         if len(values) >= 8:
             formats[kind] = infer(values)
     other = _sample(extracted.select(F.explode("runs").alias("x")).select("x.value"), 4 * sample)
-    return formats, infer(other) if len(other) >= 8 else None
+    return formats, fit_background(other, formats)
+
+
+def fit_background(values: list[str], formats: dict[str, Automaton], rounds: int = 3) -> Automaton | None:
+    """The automaton of token-like runs that are no credentials.
+
+    Credentials that the patterns miss are among the runs, so those that a
+    format explains better than the background leave the sample before it is
+    fitted again.
+    """
+    background = infer(values) if len(values) >= 8 else None
+    for _ in range(rounds):
+        kept = [v for v in values if not is_secret(v, formats, background, margin=0.0)]
+        if len(kept) == len(values) or len(kept) < 8:
+            break
+        values, background = kept, infer(kept)
+    return background
 
 
 def is_secret(value: str, formats: dict[str, Automaton], background: Automaton | None, margin: float = MARGIN) -> bool:
