@@ -51,7 +51,7 @@ SMALL_BUCKET = 32
 TILE_ROWS, TILE_OUTSIDE = 1_000_000, 250_000
 #: Ids up to this number may be broadcast (8 bytes each); more go through a shuffle.
 BROADCAST_IDS = 500_000
-WORD_CACHE = 200_000
+WORD_CACHE = 100_000
 
 _rng = np.random.default_rng(20)
 _RANK = np.argsort(_rng.random((BUCKETS, BUCKETS)), axis=1).argsort(axis=1).astype(np.int16)
@@ -276,7 +276,9 @@ class _Join:
         )
         named = self.scratch.save(named, "named")
         several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        return self.scratch.save(named.join(several, "key"), "open")
+        rows = self.scratch.save(named.join(several, "key"), "open")
+        self.scratch.drop(named)
+        return rows
 
     def small_pairs(self, rows: DataFrame) -> DataFrame:
         rows = rows.where(F.col("c") <= SMALL_BUCKET).select("key", "nid", "comp")
@@ -319,7 +321,9 @@ class _Join:
         texts = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["rep"]), "left_semi")
         sets = map_chunks(texts, _set_step(self.shingle), "set_key binary, shingles array<long>")
         sets = ends.join(sets.dropDuplicates(["set_key"]), "set_key").select("nid", "shingles")
-        return self.scratch.save(sets, f"{name}-sets")
+        sets = self.scratch.save(sets, f"{name}-sets")
+        self.scratch.drop(ends)
+        return sets
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs that sizes and sketches do not rule out."""
@@ -348,6 +352,7 @@ class _Join:
         links = first.unionByName(self.linked(self.likely(self.small_pairs(rows)), "rest"))
         if not rows.where(F.col("c") > SMALL_BUCKET).isEmpty():
             links = links.unionByName(self.scratch.save(self.large_links(rows), "large"))
+        self.scratch.drop(rows)
         return links
 
     def result(self) -> DataFrame:
@@ -357,6 +362,7 @@ class _Join:
         )
         least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
         by_class = self.scratch.save(named.join(least, "component").select("set_key", "component_id"), "by-class")
+        self.scratch.drop(self.classes, comps)
         out = self.sketched.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
         component = F.coalesce("component_id", "doc_id")
         return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
