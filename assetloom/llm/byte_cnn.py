@@ -34,6 +34,8 @@ BLOCK, SPAN, EMBED, FILTERS, HIDDEN = 8, 4, 8, 32, 16
 LAGS = 24
 INPUTS = BLOCK * EMBED + 1
 EPOCHS, BATCH, RATE = 12, 32, 3e-3
+#: Characters of the passages that fill up a small sample, at least.
+CROP = 100
 #: Bytes of the texts that are scored at once.
 SCORE_BYTES = 1 << 20
 
@@ -172,10 +174,24 @@ class ByteCnn:
                     self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
 
 
+def with_crops(texts: list[str], labels: list[int], seed: int = 5) -> tuple[list[str], list[int]]:
+    """A small sample with random passages of its texts added, up to ``SAMPLE`` texts or 8 for each."""
+    rng = np.random.default_rng(seed)
+    more, more_labels = list(texts), list(labels)
+    for text, label in zip(texts, labels):
+        for _ in range(min(8, SAMPLE // len(texts) - 1) if len(text) >= 2 * CROP else 0):
+            size = int(rng.integers(CROP, 3 * len(text) // 4 + 1))
+            start = int(rng.integers(0, len(text) - size + 1))
+            more.append(text[start : start + size])
+            more_labels.append(label)
+    return more, more_labels
+
+
 def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> ByteCnn | None:
     """A trained network, or none if the sample lacks a class."""
     if len(set(labels)) < 2:
         return None
+    texts, labels = with_crops(texts, labels)
     model = ByteCnn()
     # small samples take more passes, so that the steps are enough
     model.train([t.encode() for t in texts], labels, epochs=max(epochs, min(60, 12_000 // len(texts))))
