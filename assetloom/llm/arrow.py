@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -28,6 +30,20 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
+def give_back() -> None:
+    """Returns a worker's free memory to the system when a task ends.
+
+    Workers outlive their tasks, and what they keep adds to the executor's
+    memory in every later stage.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def utf8(column) -> list[bytes]:
     """A string column as UTF-8 bytes; null as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -53,5 +69,7 @@ def map_chunks(df: DataFrame, make: Callable[[], Callable], schema: str | Struct
                     [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for f, x in ((f, out[f.name]) for f in arrow)],
                     schema=arrow,
                 )
+        del step
+        give_back()
 
     return df.mapInArrow(run, kind)

@@ -22,12 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assetloom.llm.arrow import bound_batches
+from assetloom.llm.arrow import bound_batches, give_back
 from assetloom.llm.wordpieces import WordPieces, steps
 
 WINDOW = 2048
 END_ID = 1
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
 SHARD_DOCS = 60_000
 QUERY_TERMS = 24
 NEIGHBOURS = 16
@@ -175,6 +175,8 @@ def _packer(path: str, window: int, shard_tokens: int, end_id: int):
                         yield flush()
         if docs:
             yield flush()
+        del pieces
+        give_back()
 
     return run
 

@@ -27,9 +27,10 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from assetloom.llm.arrow import bound_batches, map_chunks
+from assetloom.llm.arrow import bound_batches, give_back, map_chunks
 from assetloom.llm.labelled import fold, labelled_sample
 
 FOLDS, HELD_OUT = 5, 0
@@ -37,7 +38,7 @@ SAMPLE = 4_000
 CUT = 0.5
 MINED = 48
 FEATURES = 1_500
-WORD_CACHE = 200_000
+WORD_CACHE = 100_000
 #: Rate of a mined feature at which its voter speaks.
 DENSE = 0.008
 WORD = re.compile(r"\w+")
@@ -319,13 +320,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
         scorer = Linear(weights, bias)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(np_mask([scorer.score(t or "") < CUT for t in texts]))
+            yield batch.filter(pa.array([scorer.score(t or "") < CUT for t in texts], pa.bool_()))
+        del scorer
+        give_back()
 
     bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
-
-
-def np_mask(flags: list[bool]):
-    import pyarrow as pa
-
-    return pa.array(flags, pa.bool_())

@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pre-tokens and other chunks that a worker remembers before it starts anew.
-CACHE = 1_000_000
+#: Pre-tokens and other chunks in each of the two generations that a worker remembers.
+CACHE = 120_000
 #: Bytes of text that are encoded at once.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 2 << 20
 
 _PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]*$"
 _CUT = r"([0-9]|[^a-zß-öø-ÿ0-9]+)"
@@ -69,7 +69,7 @@ class WordPieces:
             raise ValueError("the vocabulary must have 65,536 ids at most")
         self.ends = np.zeros(0x10000, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.cache, self.store = cache, _Store()
+        self.cache, self.store, self.older = cache, _Store(), _Store()
 
     def _each(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -81,6 +81,13 @@ class WordPieces:
         known = self.store.number
         found = [known.get(k, -1) for k in keys]
         new = [i for i, n in enumerate(found) if n < 0]
+        if self.older.size:  # what was met before the last turn of generations moves on
+            older = self.older.number
+            back = [i for i in new if keys[i] in older]
+            flat, ends = gather(self.older.flat, self.older.offsets, np.array([older[keys[i]] for i in back], np.int64))
+            self.store.add([keys[i] for i in back], flat, ends[1:])
+            missing = set(back)
+            new = [i for i in new if i not in missing]
         for at in range(0, len(new), 4000):
             some = [texts[i] for i in new[at : at + 4000]]
             flat = None
@@ -90,12 +97,12 @@ class WordPieces:
             if flat is None or len(ends) != len(some):
                 flat, ends = self._each(some)
             self.store.add([keys[i] for i in new[at : at + 4000]], flat, ends)
-        return np.array([known[k] if n < 0 else n for k, n in zip(keys, found)], np.int64) if new else np.array(found, np.int64)
+        return np.array([known[k] if n < 0 else n for k, n in zip(keys, found)], np.int64)
 
     def _chunks(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct chunks, ragged."""
         if self.store.size > self.cache:
-            self.store = _Store()
+            self.store, self.older = _Store(), self.store
         plain = pc.and_not(pc.match_substring_regex(chunks, _PLAIN), pc.match_substring(chunks, "<|"))
         cut = pc.replace_substring_regex(pc.utf8_lower(chunks.filter(plain)), _CUT, r" \1 ")
         parts, part_ends = _lists(pc.ascii_split_whitespace(cut))
