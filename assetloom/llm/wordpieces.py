@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pre-tokens and other chunks in each of the two generations that a worker remembers.
-CACHE = 120_000
+CACHE = 150_000
 #: Bytes of text that are encoded at once.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 4 << 20
 
 _PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]*$"
 _CUT = r"([0-9]|[^a-zß-öø-ÿ0-9]+)"
@@ -30,7 +30,10 @@ def gather(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np
     starts = offsets[which]
     sizes = offsets[which + 1] - starts
     ends = np.concatenate(([0], np.cumsum(sizes)))
-    return flat[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)], ends
+    kind = np.int32 if max(ends[-1], len(flat)) < 1 << 31 else np.int64  # half the memory where it is enough
+    at = np.arange(ends[-1], dtype=kind)
+    at += np.repeat((starts - ends[:-1]).astype(kind), sizes)
+    return flat[at], ends
 
 
 def _lists(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
@@ -69,60 +72,56 @@ class WordPieces:
             raise ValueError("the vocabulary must have 65,536 ids at most")
         self.ends = np.zeros(0x10000, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.cache, self.store, self.older = cache, _Store(), _Store()
+        self.cache, self.store, self.older = cache, self._empty(), self._empty()
+
+    @staticmethod
+    def _empty() -> _Store:
+        """A store that knows the empty part, which has no ids."""
+        store = _Store()
+        store.add([""], np.empty(0, np.uint16), np.zeros(1, np.int64))
+        return store
 
     def _each(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         ends = np.cumsum([len(x) for x in ids], dtype=np.int64)
         return np.array([i for x in ids for i in x], np.uint16), ends
 
-    def _numbers(self, keys: list[str], texts: list[str], pretokens: bool) -> np.ndarray:
-        """Places of the keys in the store; new ones are encoded from their texts."""
-        known = self.store.number
-        found = [known.get(k, -1) for k in keys]
-        new = [i for i, n in enumerate(found) if n < 0]
-        if self.older.size:  # what was met before the last turn of generations moves on
-            older = self.older.number
-            back = [i for i in new if keys[i] in older]
-            flat, ends = gather(self.older.flat, self.older.offsets, np.array([older[keys[i]] for i in back], np.int64))
-            self.store.add([keys[i] for i in back], flat, ends[1:])
-            missing = set(back)
-            new = [i for i in new if i not in missing]
+    def _numbers(self, keys: list[str], pretokens: bool) -> np.ndarray:
+        """Places of the keys in the store; what is new is encoded. Keys of other chunks begin with a zero."""
+        known, older = self.store.number, self.older.number
+        new = [k for k in keys if k not in known]
+        if older:  # what was met before the last turn of generations moves on
+            back = [k for k in new if k in older]
+            flat, ends = gather(self.older.flat, self.older.offsets, np.fromiter(map(older.__getitem__, back), np.int64, len(back)))
+            self.store.add(back, flat, ends[1:])
+            new = [k for k in new if k not in older]
         for at in range(0, len(new), 4000):
-            some = [texts[i] for i in new[at : at + 4000]]
+            some = new[at : at + 4000]
             flat = None
             if pretokens:  # many in one text; each ends with an end-of-word id
                 flat = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint16)
                 ends = np.flatnonzero(self.ends[flat]) + 1
             if flat is None or len(ends) != len(some):
-                flat, ends = self._each(some)
-            self.store.add([keys[i] for i in new[at : at + 4000]], flat, ends)
-        return np.array([known[k] if n < 0 else n for k, n in zip(keys, found)], np.int64)
+                flat, ends = self._each(some if pretokens else [k[1:] for k in some])
+            self.store.add(some, flat, ends)
+        return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
 
     def _chunks(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct chunks, ragged."""
         if self.store.size > self.cache:
-            self.store, self.older = _Store(), self.store
+            self.store, self.older = self._empty(), self.store
         plain = pc.and_not(pc.match_substring_regex(chunks, _PLAIN), pc.match_substring(chunks, "<|"))
         cut = pc.replace_substring_regex(pc.utf8_lower(chunks.filter(plain)), _CUT, r" \1 ")
         parts, part_ends = _lists(pc.ascii_split_whitespace(cut))
         coded = parts.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        real = [n for n in names if n]
-        numbers = np.zeros(len(names), np.int64)
-        numbers[[i for i, n in enumerate(names) if n]] = self._numbers(real, real, True)
-        blank = np.array([not n for n in names], bool)
-        piece = np.asarray(coded.indices)
-        keep = ~blank[piece] if len(piece) else np.empty(0, bool)
-        kept = np.concatenate(([0], np.cumsum(keep)))
-        flat, ends = gather(self.store.flat, self.store.offsets, numbers[piece[keep]])
-        plain_ends = ends[kept[part_ends]]
+        numbers = self._numbers(coded.dictionary.to_pylist(), True)
+        flat, ends = gather(self.store.flat, self.store.offsets, numbers[np.asarray(coded.indices)])
+        plain_ends = ends[part_ends]
         others = chunks.filter(pc.invert(plain)).to_pylist()
-        spots = np.asarray(plain.cast(pa.int8())).astype(bool)
         if not others:
             return flat, plain_ends
-        more = self._numbers(["\0" + o for o in others], others, False)
-        other_flat, other_ends = gather(self.store.flat, self.store.offsets, more)
+        other_flat, other_ends = gather(self.store.flat, self.store.offsets, self._numbers(["\0" + o for o in others], False))
+        spots = np.asarray(plain.cast(pa.int8())).astype(bool)
         order = np.empty(len(chunks), np.int64)
         order[spots] = np.arange(spots.sum())
         order[~spots] = spots.sum() + np.arange(len(others))
@@ -134,7 +133,7 @@ class WordPieces:
         words, ends = _lists(pc.ascii_split_whitespace(pc.fill_null(texts, "")))
         coded = words.dictionary_encode()
         flat, chunk_ends = self._chunks(coded.dictionary)
-        ids, word_ends = gather(flat, chunk_ends, np.asarray(coded.indices, np.int64))
+        ids, word_ends = gather(flat, chunk_ends, np.asarray(coded.indices))
         return ids, word_ends[ends]
 
 
