@@ -23,8 +23,8 @@ def review_state(log: DataFrame) -> DataFrame:
     leaves it reviewed, clear and forget take both. Null ids belong to resets
     alone.
     """
-    reset = log.where("op = 'reset'").agg(F.max("seq").alias("reset_seq"))
-    live = log.join(F.broadcast(reset)).where("reset_seq is null or seq > reset_seq")
+    reset = log.where("op = 'reset'").agg(F.max("seq")).scalar()
+    live = log.where(F.col("seq") > F.coalesce(reset, F.lit(-(1 << 63))))
     live = live.where(F.col("asset_id").isNotNull() & (F.col("op") != "reset"))
     folded = live.groupBy("asset_id").agg(last_op(F.col("op") != "spare").alias("r"), last_op(F.col("op") != "keep").alias("m"))
     return folded.select(
@@ -66,6 +66,7 @@ def confirm_delete(assets: DataFrame, resources: DataFrame, marked: DataFrame) -
     """
     ids = marked.select("asset_id").distinct()
     live = ids.join(assets.select("asset_id"), "asset_id", "left_semi")
-    bytes_freed = resources.join(live, "asset_id", "left_semi").agg(F.coalesce(F.sum("file_size"), F.lit(0)).cast("bigint").alias("bytes_freed"))
-    counts = ids.agg(F.count(F.lit(1)).alias("count")).join(F.broadcast(bytes_freed)).join(F.broadcast(live.agg(F.count(F.lit(1)).alias("live"))))
-    return assets.join(ids, "asset_id", "left_anti"), counts.where("live > 0").select("count", "bytes_freed")
+    freed = resources.join(live, "asset_id", "left_semi").agg(F.coalesce(F.sum("file_size"), F.lit(0)).cast("bigint")).scalar()
+    found = live.agg(F.count(F.lit(1))).scalar()
+    record = ids.agg(F.count(F.lit(1)).alias("count")).where(found > 0).select("count", freed.alias("bytes_freed"))
+    return assets.join(ids, "asset_id", "left_anti"), record
