@@ -1,14 +1,16 @@
 """Packing documents into fixed windows with their lexical neighbours.
 
-The documents of a partition are cut into shards of bounded size in the order
-they are read, so nothing is shuffled and no shard depends on how often a
-source or text occurs. Each shard has an inverted BM25 index over the token
-ids of its documents. A window starts from a seed (what the last window left
-of a document, or the first unused one); the index returns the seed's nearest
-unused documents, which fill the window greedily. The document at the window's
-end is cut there, and its rest is the next seed, so windows have no padding.
-The last tokens of a shard, fewer than a window, become sequences whose
-lengths are powers of two.
+Each document is encoded once. Document frequencies and the mean length are
+those of the whole table. A document's key is its weightiest term of those
+that other documents have too; documents of one key share a shard, keys are
+put together into shards of bounded size, and a key too large for one is dealt
+to several by id. So shards depend on the contents and not on the files. Each
+shard has an inverted BM25 index over the token ids of its documents. A window
+starts from a seed (what the last window left of a document, or the first
+unused one); the index returns the seed's nearest unused documents, which fill
+the window greedily. The document at the window's end is cut there, and its
+rest is the next seed, so windows have no padding. The last tokens of a shard,
+fewer than a window, become sequences whose lengths are powers of two.
 
 Rows: null text is empty and has the end id alone; repeated rows are packed
 one by one; an empty table gives an empty result; extra columns are ignored.
@@ -16,48 +18,77 @@ one by one; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assetloom.llm.arrow import bound_batches, give_back
+from assetloom.llm.arrow import CHUNK_ROWS, bound_batches, give_back
 from assetloom.llm.wordpieces import WordPieces, steps
+from assetloom.storage import Scratch
 
 WINDOW = 2048
 END_ID = 1
-SHARD_TOKENS = 1_000_000
+SHARD_TOKENS = 2_000_000
 SHARD_DOCS = 60_000
 QUERY_TERMS = 24
 NEIGHBOURS = 16
 K1, B = 1.2, 0.75
 
+#: Part of a shard that the plan fills where a key is dealt out by hash.
+FILL = 0.9
+
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+class Corpus(NamedTuple):
+    """What BM25 needs to know of the whole table."""
+
+    docs: int
+    tokens: int
+    df: np.ndarray
+
+    def idf(self) -> np.ndarray:
+        return np.log1p((self.docs - self.df + 0.5) / (self.df + 0.5))
+
+    def norm(self, sizes: np.ndarray) -> np.ndarray:
+        return K1 * (1 - B + B * sizes / max(1.0, self.tokens / max(1, self.docs)))
+
+
+def term_counts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, term and count of each distinct term of at most 65,536 documents, by term and owner."""
+    sizes = np.array([len(d) for d in docs], np.int64)
+    flat = np.concatenate(docs).astype(np.uint32) << np.uint32(16) | np.repeat(np.arange(len(docs), dtype=np.uint32), sizes)
+    flat.sort()
+    first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    counts = np.diff(np.append(first, len(flat)))
+    pairs = flat[first]
+    return (pairs & np.uint32(0xFFFF)).astype(np.int32), (pairs >> np.uint32(16)).astype(np.uint16), counts
+
+
 class Bm25Shard:
-    """An inverted index of the shard's documents over their token ids."""
+    """An inverted index of the shard's documents over their token ids.
+
+    ``corpus`` has the statistics of the whole table; without it the documents
+    are the table.
+    """
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         n = len(docs)
         sizes = np.array([len(d) for d in docs], np.int64)
-        flat = np.concatenate(docs).astype(np.uint32) | np.repeat(np.arange(n, dtype=np.uint32), sizes) << np.uint32(16)
-        flat.sort()
-        first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-        counts = np.diff(np.append(first, len(flat)))
-        pairs = flat[first]
-        terms, owners = (pairs & np.uint32(0xFFFF)).astype(np.uint16), (pairs >> np.uint32(16)).astype(np.int32)
-        df = np.bincount(terms, minlength=0x10000)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean()))
-        weight = (idf[terms] * counts * (K1 + 1) / (counts + norm[owners])).astype(np.float32)
+        owners, terms, counts = term_counts(docs)
+        own = np.bincount(terms, minlength=0x10000)
+        corpus = corpus or Corpus(n, int(sizes.sum()), own)
+        weight = (corpus.idf()[terms] * counts * (K1 + 1) / (counts + corpus.norm(sizes)[owners])).astype(np.float32)
         self.n = n
-        self.begin = np.searchsorted(owners, np.arange(n + 1))
-        self.terms, self.weight = terms, weight
-        order = np.argsort(terms, kind="stable")
-        self.post_docs, self.post_weight = owners[order], weight[order]
-        self.post_begin = np.concatenate(([0], np.cumsum(df)))
+        self.post_docs, self.post_weight = owners, weight
+        self.post_begin = np.concatenate(([0], np.cumsum(own)))
+        order = np.argsort(owners, kind="stable")
+        self.terms, self.weight = terms[order], weight[order]
+        self.begin = np.searchsorted(owners[order], np.arange(n + 1))
 
     def neighbours(self, doc: int, used: np.ndarray, limit: int = NEIGHBOURS) -> list[int]:
         """The unused documents of the highest scores for the seed's weightiest terms."""
@@ -75,9 +106,9 @@ class Bm25Shard:
         return top[np.lexsort((top, -scores[top]))].tolist()
 
 
-def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces ``(doc, start, length, sequence, offset)`` of one shard, in order."""
-    index = Bm25Shard(docs)
+    index = Bm25Shard(docs, corpus)
     used = np.zeros(len(docs), bool)
     out: list[tuple[int, int, int, int, int]] = []
     unread, carry, sequence = 0, None, 0
@@ -137,20 +168,116 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int,
     return out
 
 
-def _packer(path: str, window: int, shard_tokens: int, end_id: int):
+def _encoder(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         pieces = WordPieces(path)
-        sequence = TaskContext.get().partitionId() << 40
         end = np.uint16(end_id)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            names = batch.column(batch.schema.get_field_index("doc_id"))
+            for begin, stop in steps(texts):
+                flat, ends = pieces.encode(texts.slice(begin, stop - begin))
+                own = [np.append(flat[ends[i] : ends[i + 1]], end).astype("<u2").tobytes() for i in range(stop - begin)]
+                yield pa.RecordBatch.from_arrays([names.slice(begin, stop - begin), pa.array(own, pa.binary())], names=["doc_id", "ids"])
+        del pieces
+        give_back()
+
+    return run
+
+
+def _held(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+    """The ids of a batch's rows, some rows at a time."""
+    ids = batch.column(batch.schema.get_field_index("ids"))
+    for at in range(0, len(ids), CHUNK_ROWS):
+        yield [np.frombuffer(x, "<u2") for x in ids.slice(at, CHUNK_ROWS).to_pylist()]
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Document frequency by term; term -1 has the documents, -2 the tokens."""
+    df = np.zeros(0x10000, np.int64)
+    docs = tokens = 0
+    for batch in batches:
+        for some in _held(batch):
+            df += np.bincount(term_counts(some)[1], minlength=0x10000)
+            docs, tokens = docs + len(some), tokens + sum(map(len, some))
+    terms = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, [-1, -2])), pa.array(np.append(df[terms], [docs, tokens]))], names=["term", "df"])
+
+
+def corpus_of(encoded: DataFrame) -> Corpus:
+    """Statistics of all documents; at most one row for each id of the vocabulary reaches the driver."""
+    rows = encoded.select("ids").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    found = {r["term"]: r["df"] for r in rows}
+    df = np.zeros(0x10000, np.int64)
+    for term, n in found.items():
+        if term >= 0:
+            df[term] = n
+    return Corpus(found.get(-1, 0), found.get(-2, 0), df)
+
+
+def keys(docs: list[np.ndarray], corpus: Corpus) -> np.ndarray:
+    """Each document's weightiest term of those in two documents or more; its weightiest if none is."""
+    owners, terms, counts = term_counts(docs)
+    sizes = np.array([len(d) for d in docs], np.int64)
+    weight = corpus.idf()[terms] * counts / (counts + corpus.norm(sizes)[owners])
+    order = np.lexsort((terms, -weight, corpus.df[terms] < 2, owners))
+    return terms[order][np.searchsorted(owners[order], np.arange(len(docs)))].astype(np.int64)
+
+
+def _loads(corpus: Corpus):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, tokens = np.zeros(0x10000, np.int64), np.zeros(0x10000, np.int64)
+        for batch in batches:
+            for some in _held(batch):
+                of = keys(some, corpus)
+                docs += np.bincount(of, minlength=0x10000)
+                np.add.at(tokens, of, [len(d) for d in some])
+        found = np.flatnonzero(docs)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(docs[found]), pa.array(tokens[found])], names=["key", "docs", "tokens"])
+
+    return run
+
+
+def shard_plan(loads: list[tuple[int, int, int]], shard_tokens: int, shard_docs: int = SHARD_DOCS) -> tuple[np.ndarray, np.ndarray, int]:
+    """First shard and number of shards of each key, and the number of all shards.
+
+    ``loads`` has key, documents and tokens. Small keys share a shard as long
+    as it has room; a key beyond one shard is dealt to shards of its own.
+    """
+    first, parts = np.zeros(0x10000, np.int64), np.ones(0x10000, np.int64)
+    shard, docs, tokens, total = -1, shard_docs, shard_tokens, 0
+    for key, d, t in sorted(loads):
+        if d > shard_docs or t > shard_tokens:
+            parts[key] = min(d, math.ceil(max(d / shard_docs, t / shard_tokens) / FILL))
+            first[key], total = total, total + parts[key]
+            continue
+        if docs + d > shard_docs or tokens + t > shard_tokens:
+            shard, docs, tokens, total = total, 0, 0, total + 1
+        first[key], docs, tokens = shard, docs + d, tokens + t
+    return first, parts, int(total)
+
+
+def _assigner(corpus: Corpus, first: np.ndarray, parts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            salts = np.asarray(batch.column(batch.schema.get_field_index("salt")))
+            of = np.concatenate([keys(some, corpus) for some in _held(batch)] or [np.empty(0, np.int64)])
+            shards = first[of] + salts % parts[of]
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "ids")]
+            yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), *columns], names=["shard", "doc_id", "ids"])
+
+    return run
+
+
+def _packer(corpus: Corpus, window: int, shard_tokens: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         docs: list[np.ndarray] = []
-        held = 0
+        held, now, sequence = 0, None, 0
 
         def flush():
             nonlocal sequence, ids, docs, held
-            packed = pack_shard(docs, window)
+            packed = pack_shard(docs, window, corpus)
             doc, start, length, seq, offset = (np.array(x, np.int64) for x in zip(*packed))
             binary = pa.array([docs[d][s : s + n].astype("<u4").tobytes() for d, s, n, _, _ in packed], pa.binary())
             tokens = np.array([len(x) for x in docs], np.int64)
@@ -163,19 +290,18 @@ def _packer(path: str, window: int, shard_tokens: int, end_id: int):
             return out
 
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            names = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            for begin, stop in steps(texts):
-                flat, ends = pieces.encode(texts.slice(begin, stop - begin))
-                for i in range(stop - begin):
-                    ids.append(names[begin + i])
-                    docs.append(np.append(flat[ends[i] : ends[i + 1]], end))
-                    held += len(docs[-1])
-                    if held >= shard_tokens or len(docs) >= SHARD_DOCS:
-                        yield flush()
+            shards, names, own = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("shard", "doc_id", "ids"))
+            for shard, name, x in zip(shards, names, own):
+                x = np.frombuffer(x, "<u2")
+                if docs and (shard != now or held + len(x) > shard_tokens or len(docs) >= SHARD_DOCS):
+                    yield flush()
+                if shard != now:
+                    now, sequence = shard, shard << 40
+                ids.append(name)
+                docs.append(x)
+                held += len(x)
         if docs:
             yield flush()
-        del pieces
         give_back()
 
     return run
@@ -193,7 +319,18 @@ def pack(
     """
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     bound_batches(docs.sparkSession)
-    return given.mapInArrow(_packer(tokenizer, window, shard_tokens, end_id), PIECES)
+    scratch = Scratch(docs.sparkSession, "packing")
+    encoded = scratch.save(given.mapInArrow(_encoder(tokenizer, end_id), "doc_id long, ids binary"), "encoded")
+    corpus = corpus_of(encoded)
+    loads = encoded.select("ids").mapInArrow(_loads(corpus), "key long, docs long, tokens long")
+    loads = loads.groupBy("key").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).collect()
+    first, parts, total = shard_plan([tuple(r) for r in loads], shard_tokens)
+    # rows without an id are told apart by their place
+    salt = F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id())).bitwiseAND(F.lit((1 << 62) - 1))
+    salted = encoded.select("doc_id", "ids", salt.alias("salt"))
+    dealt = salted.mapInArrow(_assigner(corpus, first, parts), "shard int, doc_id long, ids binary")
+    dealt = dealt.repartitionById(max(1, total), "shard").sortWithinPartitions("shard", "doc_id", F.xxhash64("ids"))
+    return dealt.mapInArrow(_packer(corpus, window, shard_tokens), PIECES)
 
 
 def checksum(ids: str) -> Column:

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -74,3 +75,35 @@ def test_messy(messy, pieces):
     check(packing.digest(packing.pack(some, PATH)).collect(), want)
     assert packing.pack(messy, PATH).where("start = 0").count() == messy.count()
     assert packing.pack(messy.limit(0), PATH).count() == 0
+
+
+def test_shards_are_of_contents(spark, pieces):
+    """Documents of one topic meet in a sequence although every file has one document of each topic."""
+    rng = random.Random(6)
+    vocabulary = [[f"{c}{d}zq{k}" for c in "bcdfg" for d in "klmnp"] for k in range(6)]
+    rows = [(100 * k + i, " ".join(rng.choices(vocabulary[k], k=60))) for i in range(12) for k in range(6)]
+    shapes = []
+    for parts in (12, 1):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        out = packing.pack(frame, PATH, shard_tokens=8_000).collect()
+        shapes.append(sorted((r["doc_id"], r["start"], r["length"], r["sequence_id"], r["offset"]) for r in out))
+    assert shapes[0] == shapes[1]
+    topics = defaultdict(list)
+    for name, _, length, sequence, _ in shapes[0]:
+        topics[sequence] += [name // 100] * length
+    assert sum(max(map(t.count, set(t))) for t in topics.values()) > 0.6 * sum(map(len, topics.values()))
+
+
+def test_statistics_are_of_the_table(spark):
+    rows = [(i, f"common word{i}") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    encoded = frame.mapInArrow(packing._encoder(PATH, 1), "doc_id long, ids binary")
+    corpus = packing.corpus_of(encoded)
+    assert corpus.docs == 40 == corpus.df.max() and corpus.df[1] == 40
+
+
+def test_shard_plan():
+    loads = [(5, 10, 100), (7, 10, 300), (9, 1000, 5000), (11, 3, 800)]
+    first, parts, total = packing.shard_plan(loads, 1000)
+    assert first[5] == first[7] == 0 and parts[9] == 6 and total == 8
+    assert len({int(first[k]) + p for k in (5, 9, 11) for p in range(parts[k])}) == total
