@@ -7,8 +7,8 @@ put together into shards of bounded size, and a key too large for one is dealt
 to several by id. So shards depend on the contents and not on the files. Each
 shard has an inverted BM25 index over the token ids of its documents. A window
 starts from a seed (what the last window left of a document, or the first
-unused one); the index returns the seed's nearest unused documents, which fill
-the window greedily. The document at the window's end is cut there, and its
+unused one); the index ranks all unused documents that share a term with the
+seed, and the nearest fill the window greedily. The document at the window's end is cut there, and its
 rest is the next seed, so windows have no padding. The last tokens of a shard,
 fewer than a window, become sequences whose lengths are powers of two.
 
@@ -34,8 +34,10 @@ WINDOW = 2048
 END_ID = 1
 SHARD_TOKENS = 2_000_000
 SHARD_DOCS = 60_000
-QUERY_TERMS = 24
+#: Neighbours that are ranked first; further ones when these are used.
 NEIGHBOURS = 16
+#: Share of the documents from which a term's postings are kept as a row.
+DENSE = 0.2
 K1, B = 1.2, 0.75
 
 #: Part of a shard that the plan fills where a key is dealt out by hash.
@@ -89,21 +91,45 @@ class Bm25Shard:
         order = np.argsort(owners, kind="stable")
         self.terms, self.weight = terms[order], weight[order]
         self.begin = np.searchsorted(owners[order], np.arange(n + 1))
+        # terms of many documents as rows of a matrix, which add up faster than postings
+        common = np.flatnonzero(own > n * DENSE)
+        self.dense_row = np.full(0x10000, -1, np.int32)
+        self.dense_row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), n), np.float32)
+        dense = self.dense_row[terms]
+        self.dense[dense[dense >= 0], owners[dense >= 0]] = weight[dense >= 0]
+
+    def scores(self, doc: int) -> np.ndarray:
+        """BM25 scores of all documents for all terms of the seed."""
+        terms = self.terms[self.begin[doc] : self.begin[doc + 1]]
+        rows = self.dense_row[terms]
+        parts = [slice(self.post_begin[t], self.post_begin[t + 1]) for t in terms[rows < 0].tolist()]
+        out = self.dense[rows[rows >= 0]].sum(axis=0, dtype=np.float32).astype(np.float64)
+        if parts:
+            hit = np.concatenate([self.post_docs[p] for p in parts])
+            out += np.bincount(hit, np.concatenate([self.post_weight[p] for p in parts]), self.n)
+        return out
 
     def neighbours(self, doc: int, used: np.ndarray, limit: int = NEIGHBOURS) -> list[int]:
-        """The unused documents of the highest scores for the seed's weightiest terms."""
-        own = slice(self.begin[doc], self.begin[doc + 1])
-        terms, weight = self.terms[own], self.weight[own]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]]
-        parts = [slice(self.post_begin[t], self.post_begin[t + 1]) for t in terms.tolist()]
-        hit = np.concatenate([self.post_docs[p] for p in parts])
-        scores = np.bincount(hit, np.concatenate([self.post_weight[p] for p in parts]), self.n)
-        scores[used] = 0
-        limit = min(limit, self.n)
-        top = np.argpartition(-scores, limit - 1)[:limit]
-        top = top[scores[top] > 0]
-        return top[np.lexsort((top, -scores[top]))].tolist()
+        """The unused documents of the highest scores for the seed's terms."""
+        return next(self.ranked(doc, used, limit), [])
+
+    def ranked(self, doc: int, used: np.ndarray, limit: int = NEIGHBOURS) -> Iterator[list[int]]:
+        """All unused documents that score above 0, the highest first, in lists of growing length.
+
+        ``used`` may change between the lists.
+        """
+        scores = self.scores(doc)
+        while True:
+            scores[used] = 0
+            limit = min(limit, self.n)
+            top = np.argpartition(-scores, limit - 1)[:limit]
+            top = top[scores[top] > 0]
+            if not len(top):
+                return
+            yield top[np.lexsort((top, -scores[top]))].tolist()
+            scores[top] = 0
+            limit *= 4
 
 
 def pack_shard(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
@@ -122,7 +148,7 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | No
             carry = (unread, 0)
             used[unread] = True
         (doc, start), carry = carry, None
-        seed, room, queue = doc, window, None
+        seed, room, queue, more = doc, window, [], None
         current = []
         while room:
             length = min(room, len(docs[doc]) - start)
@@ -133,10 +159,10 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | No
                 break
             if not room:
                 break
-            if queue is None:
-                queue = index.neighbours(seed, used)[::-1]
-            while queue and used[queue[-1]]:
-                queue.pop()
+            if more is None:
+                more = index.ranked(seed, used)
+            if not queue:
+                queue = next(more, [])[::-1]
             if queue:
                 doc = queue.pop()
             else:

@@ -107,3 +107,30 @@ def test_shard_plan():
     first, parts, total = packing.shard_plan(loads, 1000)
     assert first[5] == first[7] == 0 and parts[9] == 6 and total == 8
     assert len({int(first[k]) + p for k in (5, 9, 11) for p in range(parts[k])}) == total
+
+
+def test_windows_use_all_neighbours():
+    """Forty short documents of the seed's topic come before others, as does one that shares the seed's lightest term."""
+    near = [np.array([1000, 2000 + i], np.uint16) for i in range(40)]
+    far = [np.array([3000 + i, 4000 + i], np.uint16) for i in range(40)]
+    docs = [x for pair in zip(near, far) for x in pair]
+    packed = packing.pack_shard(docs, window=80)
+    assert {d % 2 for d, _, _, sequence, _ in packed if sequence == 0} == {0}
+    seed = np.concatenate([np.arange(100, 130), [7]]).astype(np.uint16)
+    docs = [seed, *[np.array([500 + i], np.uint16) for i in range(9)], *[np.array([7, 7], np.uint16)] * 2]
+    assert set(packing.Bm25Shard(docs).neighbours(0, np.arange(12) == 0)) == {10, 11}
+
+
+def test_scores_are_of_all_terms():
+    rng = np.random.default_rng(5)
+    docs = [np.minimum(rng.zipf(1.3, 200), 60_000).astype(np.uint16) for _ in range(80)]
+    mixed = packing.Bm25Shard(docs)
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=0x10000)
+    mean = sum(map(len, docs)) / 80
+    for seed in (0, 40):
+        want = [
+            sum(np.log1p((80 - df[t] + 0.5) / (df[t] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(d) / mean))
+                for t in np.unique(docs[seed]) if (c := (d == t).sum()))
+            for d in docs
+        ]
+        assert np.allclose(mixed.scores(seed), want, rtol=1e-4)
