@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from assetloom.llm.arrow import map_chunks, utf8
 from assetloom.operators.components import connected_components
@@ -361,9 +362,9 @@ class _Join:
             "set_key", "rep", F.coalesce("component", "nid").alias("component")
         )
         least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-        by_class = self.scratch.save(named.join(least, "component").select("set_key", "component_id"), "by-class")
+        self.by_class = self.scratch.save(named.join(least, "component").select("set_key", "component", "component_id"), "by-class")
         self.scratch.drop(self.classes, comps)
-        out = self.sketched.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
+        out = self.sketched.select("doc_id", "n_shingles", "set_key").join(self.by_class, "set_key", "left")
         component = F.coalesce("component_id", "doc_id")
         return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -380,16 +381,45 @@ def near_duplicates(
     return _Join(given, shingle, threshold).result()
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest id.
+def _key_step(shingle: int, text: str):
+    def make():
+        hashes = WordHashes()
+
+        def step(batch):
+            sets = (shingle_set(t, hashes, shingle) for t in utf8(batch.column(text)))
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            return {n: batch.column(i) for i, n in enumerate(batch.schema.names)} | {"_set_key": keys}
+
+        return step
+
+    return make
+
+
+def deduplicate(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: int = THRESHOLD
+) -> DataFrame:
+    """``docs`` with one row of each group, one with the smallest id.
 
-    Rows that repeat an id are one document, of which one row stays.
+    Rows of one id whose texts are not linked all stay, and so do unlinked
+    rows without an id. Wordless rows that repeat an id are one row.
     """
+    join = _Join(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), shingle, threshold)
     scratch = Scratch(docs.sparkSession, "kept")
-    by_id = near_duplicates(docs, **options).groupBy("doc_id").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    by_id = join.result().groupBy("doc_id").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
     by_id = scratch.save(by_id, "by-id")
-    gone = by_id.where(~F.col("stays")).select(F.col("doc_id").alias("gone_id"))
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    stays = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
-    return stays if by_id.where("n > 1").isEmpty() else stays.dropDuplicates(["doc_id"])
+    if by_id.where("n > 1").isEmpty():
+        gone = by_id.where(~F.col("stays")).select(F.col("doc_id").alias("gone_id"))
+        if gone.count() <= BROADCAST_IDS:
+            gone = F.broadcast(gone)
+        return docs.join(gone, docs[doc_id].cast("long").eqNullSafe(gone["gone_id"]), "left_anti")
+    # ids do not tell the rows apart: one row of each component, by id and set
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_key")).alias("least")
+    least = join.sketched.join(join.by_class, "set_key").groupBy("component").agg(place)
+    least = scratch.save(least.select(F.col("least.doc_id").alias("least_id"), F.col("least.set_key").alias("least_key")), "least")
+    schema = StructType([*docs.schema.fields, StructField("_set_key", BinaryType())])
+    keyed = scratch.save(map_chunks(docs, _key_step(shingle, text), schema), "keyed")
+    stays = (keyed["_set_key"] == least["least_key"]) & keyed[doc_id].cast("long").eqNullSafe(least["least_id"])
+    linked = keyed.join(least, stays, "left_semi").dropDuplicates([doc_id, "_set_key"])
+    wordless = keyed.where(F.col("_set_key").isNull())
+    named = wordless.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
+    return linked.unionByName(named).unionByName(wordless.where(F.col(doc_id).isNull())).drop("_set_key")

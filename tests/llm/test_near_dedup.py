@@ -94,3 +94,22 @@ def test_messy(messy):
     assert kept.columns == messy.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 2, 3, 4, 5, 7, 9, 10]
     assert near_dedup.near_duplicates(messy.limit(0)).count() == 0 == near_dedup.deduplicate(messy.limit(0)).count()
+
+
+def test_rows_without_own_ids_stay(spark, messy):
+    """Distinct texts stay though their ids are null or repeated; copies and near copies go."""
+    kept = near_dedup.deduplicate(messy, shingle=2).collect()
+    assert sorted((r["text"] for r in kept if r["doc_id"] is None), key=str) == [None, "x y z"]
+    long = " ".join(f"t{k}" for k in range(60))
+    rows = [
+        (None, "a b c"), (None, "d e f"), (None, "d e f"), (None, None), (None, ""), (None, "k l m"), (None, long), (None, long + " end"),
+        (1, "k l m"), (2, "n o p"), (2, "q r s"), (2, "q r s"), (2, "k l m"), (3, ""), (3, None), (4, "n o p"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in near_dedup.deduplicate(frame, shingle=2).collect()]
+    near = [t for _, t in got if t and t.startswith(long)]
+    assert len(near) == 1
+    wordless = [i for i, t in got if not t]
+    assert sorted(wordless, key=str) == [3, None, None]
+    rest = sorted(((i, t) for i, t in got if t and not t.startswith(long)), key=str)
+    assert rest == [(1, "k l m"), (2, "n o p"), (2, "q r s"), (None, "a b c"), (None, "d e f")]
