@@ -1,11 +1,14 @@
 """Secret scans: fixed patterns, and automata inferred from the credentials they find.
 
-The patterns (``assign``, ``access``, ``hex``) label credentials. A bounded
-sample of distinct values per kind, the first by hash, and one of other
-token-like runs train one automaton per kind and one for the background. Every
-other token-like run of the whole corpus is then scored: it is a secret if the
-likelihood under some kind's format beats the background's by ``margin`` nats a
-character and its length is near the lengths of that kind.
+The patterns (``assign``, ``access``, ``hex``) label credentials. All labelled
+values set which other runs are candidates: their lengths, with a quarter of
+slack, and whether they have letters and digits. A bounded sample of distinct
+values per kind, the first by hash, and one of other runs train one
+automaton per kind and one for the background, on the first ``PREFIX``
+characters. Every candidate of the whole corpus is then scored: it is a secret
+if the likelihood under some kind's format beats the background's by
+``margin`` nats a character and its length is near the true lengths of that
+kind.
 
 Rows: null text is empty and has no spans; rows are scanned one by one, so
 repeated rows and null ids are kept; an empty table trains nothing and gives
@@ -15,7 +18,10 @@ an empty result; extra columns are ignored or, in ``redact``, kept.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -32,8 +38,12 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-#: A run that may be a credential: long enough, with a digit.
-RUN = re.compile(rb"[A-Za-z0-9+/_.=-]{16,}+")
+#: The shortest run that may be a credential, as the patterns label it.
+FLOOR = min(LEAST.values())
+#: Runs from this length with a digit and a letter teach the background in any case.
+TOKEN_LIKE = 16
+#: Characters of a run that are learned and scored.
+PREFIX = 256
 DIGIT = re.compile(rb"[0-9]")
 LETTER = re.compile(rb"[A-Za-z]")
 
@@ -65,11 +75,37 @@ def base_matches(text: bytes) -> list[tuple[str, int, int, bytes]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def token_runs(text: bytes, taken: list[tuple]) -> list[tuple[int, int, bytes]]:
-    """Token-like runs that touch no base span."""
+class Shape(NamedTuple):
+    """What the labelled values have: least and most length, and classes of (digit, letter)."""
+
+    low: int
+    high: int
+    classes: frozenset[tuple[bool, bool]]
+
+    def bounds(self) -> tuple[int, int]:
+        return max(FLOOR, math.ceil(0.75 * self.low)), math.floor(1.25 * self.high)
+
+    def fits(self, size: int, kind: tuple[bool, bool]) -> bool:
+        low, high = self.bounds()
+        return low <= size <= high and kind in self.classes
+
+
+def class_of(value: bytes) -> tuple[bool, bool]:
+    return DIGIT.search(value) is not None, LETTER.search(value) is not None
+
+
+@lru_cache(64)
+def _run(low: int) -> re.Pattern:
+    return re.compile(rb"[A-Za-z0-9+/_.=-]{%d,}+" % low)
+
+
+def token_runs(text: bytes, taken: list[tuple], shapes: list[Shape]) -> list[tuple[int, int, bytes]]:
+    """Runs that fit one of the shapes, and token-like ones for the background, that touch no base span."""
     out = []
-    for m in RUN.finditer(text):
-        if DIGIT.search(m[0]) and LETTER.search(m[0]) and not any(m.start() < e and s < m.end() for _, s, e, _ in taken):
+    for m in _run(min([TOKEN_LIKE, *(s.bounds()[0] for s in shapes)])).finditer(text):
+        size, kind = len(m[0]), class_of(m[0])
+        wanted = size >= TOKEN_LIKE and kind == (True, True) or any(x.fits(size, kind) for x in shapes)
+        if wanted and not any(m.start() < e and s < m.end() for _, s, e, _ in taken):
             out.append((m.start(), m.end(), m[0]))
     return out
 
@@ -91,12 +127,32 @@ class CodePoints:
         return self.count
 
 
-def _extract():
+def _label():
+    def step(batch):
+        found = [(k, v) for text in utf8(batch.column("text")) for k, _, _, v in base_matches(text)]
+        classes = [class_of(v) for _, v in found]
+        return {"kind": [k for k, _ in found], "size": [len(v) for _, v in found], "digit": [d for d, _ in classes], "letter": [x for _, x in classes]}
+
+    return step
+
+
+def _shapes(labelled: DataFrame) -> dict[str, Shape]:
+    """The shape of each kind, from ``kind, size, digit, letter`` of all labelled values."""
+    rows = labelled.groupBy("kind", "digit", "letter").agg(F.min("size").alias("low"), F.max("size").alias("high")).collect()
+    out = {}
+    for kind in KINDS:
+        own = [r for r in rows if r["kind"] == kind]
+        if own:
+            out[kind] = Shape(min(r["low"] for r in own), max(r["high"] for r in own), frozenset((r["digit"], r["letter"]) for r in own))
+    return out
+
+
+def _extract(shapes: list[Shape]):
     def step(batch):
         base, runs, creds = [], [], []
         for text in utf8(batch.column("text")):
             spans = base_matches(text)
-            loose = token_runs(text, spans)
+            loose = token_runs(text, spans, shapes)
             point = CodePoints(text)
             base.append([{"kind": k, "start": point(s), "end": point(e)} for k, s, e, _ in spans])
             runs.append([{"start": point(s), "end": point(e), "value": v.decode()} for s, e, v in loose])
@@ -107,13 +163,17 @@ def _extract():
 
 
 def extract(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Base spans, loose token-like runs and labelled credentials of every row."""
-    return map_chunks(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), _extract, EXTRACT)
+    """Base spans, loose runs (see ``token_runs``) and labelled credentials of every row."""
+    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    shapes = list(_shapes(map_chunks(given.select("text"), _label, "kind string, size long, digit boolean, letter boolean")).values())
+    return map_chunks(given, lambda: _extract(shapes), EXTRACT)
 
 
-def _sample(values: DataFrame, size: int) -> list[str]:
-    distinct = values.select(F.substring("value", 1, 256).alias("value")).distinct()
-    return [r["value"] for r in distinct.orderBy(F.xxhash64("value"), "value").limit(size).collect()]
+def _sample(values: DataFrame, size: int) -> dict[str, int]:
+    """The first ``PREFIX`` characters of some distinct values, with the true length."""
+    start = F.substring("value", 1, PREFIX).alias("value")
+    distinct = values.groupBy(start).agg(F.max(F.length("value")).alias("size"))
+    return {r["value"]: r["size"] for r in distinct.orderBy(F.xxhash64("value"), "value").limit(size).collect()}
 
 
 def fit_formats(extracted: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, Automaton], Automaton | None]:
@@ -123,49 +183,58 @@ def fit_formats(extracted: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, A
     fewer than 8 samples train none.
     """
     creds = extracted.select(F.explode("creds").alias("x")).select("x.kind", "x.value")
+    digit, letter = F.col("value").rlike("[0-9]"), F.col("value").rlike("[A-Za-z]")
+    shapes = _shapes(creds.select("kind", F.length("value").alias("size"), digit.alias("digit"), letter.alias("letter")))
     formats = {}
-    for kind in KINDS:
+    for kind in shapes:
         values = _sample(creds.where(F.col("kind") == kind), sample)
         if len(values) >= 8:
-            formats[kind] = infer(values)
+            formats[kind] = infer(list(values))
+            formats[kind].shape = shapes[kind]
     other = _sample(extracted.select(F.explode("runs").alias("x")).select("x.value"), 4 * sample)
     return formats, fit_background(other, formats)
 
 
-def fit_background(values: list[str], formats: dict[str, Automaton], rounds: int = 3) -> Automaton | None:
+def fit_background(values: dict[str, int], formats: dict[str, Automaton], rounds: int = 3) -> Automaton | None:
     """The automaton of token-like runs that are no credentials.
 
     Credentials that the patterns miss are among the runs, so those that a
     format explains better than the background leave the sample before it is
     fitted again.
     """
-    background = infer(values) if len(values) >= 8 else None
+    background = infer(list(values)) if len(values) >= 8 else None
     for _ in range(rounds):
-        kept = [v for v in values if not is_secret(v, formats, background, margin=0.0)]
+        kept = {v: n for v, n in values.items() if not is_secret(v, formats, background, margin=0.0, size=n)}
         if len(kept) == len(values) or len(kept) < 8:
             break
-        values, background = kept, infer(kept)
+        values, background = kept, infer(list(kept))
     return background
 
 
-def is_secret(value: str, formats: dict[str, Automaton], background: Automaton | None, margin: float = MARGIN) -> bool:
-    """Whether the run's likelihood under a format beats the background's."""
-    if not formats:
+def is_secret(value: str, formats: dict[str, Automaton], background: Automaton | None, margin: float = MARGIN, size: int | None = None) -> bool:
+    """Whether the run's likelihood under a format beats the background's; ``size`` is the true length of a cut run."""
+    kind = class_of(value.encode())
+    near = [f for f in formats.values() if shape_of(f).fits(size or len(value), kind)]
+    if not near:
         return False
-    against = background.log_likelihood(value) if background else -4.2 * len(value)
-    for automaton in formats.values():
-        low, high = automaton.lengths
-        if 0.75 * low <= len(value) <= 1.25 * high and automaton.log_likelihood(value) - against > margin * len(value):
-            return True
-    return False
+    start = value[:PREFIX]
+    against = background.log_likelihood(start) if background else -4.2 * len(start)
+    return any(f.log_likelihood(start) - against > margin * len(start) for f in near)
+
+
+def shape_of(automaton: Automaton) -> Shape:
+    """The shape of all labelled values, or of any class if only the samples' lengths are known."""
+    return getattr(automaton, "shape", None) or Shape(*automaton.lengths, frozenset((d, x) for d in (False, True) for x in (False, True)))
 
 
 def _judge(model):
     def make():
+        secret = lru_cache(50_000)(lambda value: is_secret(value, *model))
+
         def step(batch):
             kept = []
             for base, runs in zip(batch.column("base").to_pylist(), batch.column("runs").to_pylist()):
-                more = [{"kind": FOUND, "start": r["start"], "end": r["end"]} for r in runs if is_secret(r["value"], *model)]
+                more = [{"kind": FOUND, "start": r["start"], "end": r["end"]} for r in runs if secret(r["value"])]
                 order = {k: i for i, k in enumerate((*KINDS, FOUND))}
                 kept.append(sorted(base + more, key=lambda x: (x["start"], order[x["kind"]])))
             return {"doc_id": batch.column("doc_id"), "base": batch.column("base"), "spans": kept}
@@ -206,7 +275,8 @@ def placeholder(value: bytes) -> bytes:
 def redact_text(text: bytes, model) -> bytes:
     """The text with every secret span replaced."""
     spans = base_matches(text)
-    spans = [(s, e) for _, s, e, _ in spans] + [(s, e) for s, e, v in token_runs(text, spans) if is_secret(v.decode(), *model)]
+    loose = token_runs(text, spans, [shape_of(f) for f in model[0].values()])
+    spans = [(s, e) for _, s, e, _ in spans] + [(s, e) for s, e, v in loose if is_secret(v.decode(), *model)]
     out, at = [], 0
     for start, end in _merged(spans):
         out += [text[at:start], placeholder(text[start:end])]

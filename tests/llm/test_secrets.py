@@ -77,3 +77,20 @@ def test_messy(messy):
 @pytest.mark.parametrize("text", ["", "x", "a" * 3000])
 def test_no_spans(text):
     assert secrets.base_matches(text.encode()) == [] or text.startswith("a")
+
+
+@pytest.mark.parametrize("size,letters", [(10, string.ascii_uppercase + string.digits), (12, string.ascii_uppercase), (400, string.ascii_letters + string.digits)])
+def test_candidates_follow_the_labels(spark, size, letters):
+    """Bare credentials are found at the lengths and classes of the labelled ones, short, without digits, or long."""
+    rng = random.Random(size)
+    secret = lambda: "".join(rng.choice(letters) for _ in range(size))
+    rows = [(i, f"here token: {secret()} there") for i in range(80)]
+    bare = [secret()]  # more long ones would be most of so small a background sample
+    rows += [(100 + i, f"bare {x} one") for i, x in enumerate(bare)]
+    rows += [(200 + i, " ".join(f"{a}ing{b}ness" for a in ("walk", "talk", "read") for b in ("kind", "good", "dark")) + f" page{i}.example.org /usr/share/doc/package{i}/examples/readme{i}.text") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.scan(frame).collect()}
+    assert out[100] == [("format", 5, 5 + size)]
+    assert not any(out[200 + i] for i in range(40))
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(frame).collect()}
+    assert not any(x in clean[100 + i] for i, x in enumerate(bare))
