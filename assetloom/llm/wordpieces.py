@@ -120,7 +120,8 @@ class WordPieces:
         others = chunks.filter(pc.invert(plain)).to_pylist()
         if not others:
             return flat, plain_ends
-        other_flat, other_ends = gather(self.store.flat, self.store.offsets, self._numbers(["\0" + o for o in others], False))
+        numbers = self._numbers(["\0" + o for o in others], False)  # before the store's arrays are read: new keys replace them
+        other_flat, other_ends = gather(self.store.flat, self.store.offsets, numbers)
         spots = np.asarray(plain.cast(pa.int8())).astype(bool)
         order = np.empty(len(chunks), np.int64)
         order[spots] = np.arange(spots.sum())

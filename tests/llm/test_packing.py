@@ -22,6 +22,38 @@ def test_ids_are_the_tokenizers(pieces, texts):
         assert flat[ends[i] : ends[i + 1]].tolist() == pieces.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+SCRIPTS = {
+    "cyrillic": [chr(c) for c in range(0x430, 0x450)], "greek": [chr(c) for c in range(0x3B1, 0x3C9)],
+    "cjk": [chr(c) for c in range(0x4E00, 0x4E00 + 300)], "apostrophes": [*"aeinorst", "'", "l'", "n't"],
+}
+
+
+def scripted(name, n=10_000):
+    """``n`` distinct words of a script, as texts of 250 words."""
+    rng = random.Random(name)
+    found = set()
+    while len(found) < n:
+        found.add("".join(rng.choice(SCRIPTS[name]) for _ in range(rng.randint(3, 9))))
+    some = sorted(found)
+    return [" ".join(some[at : at + 250]) for at in range(0, n, 250)]
+
+
+@pytest.mark.parametrize("name", sorted(SCRIPTS))
+def test_many_words_of_any_script(pieces, name):
+    some = scripted(name)
+    own = wordpieces.WordPieces(PATH)
+    flat, ends = own.encode(pa.array(some))
+    for i, text in enumerate(some):
+        assert flat[ends[i] : ends[i + 1]].tolist() == pieces.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_scripts_are_packed(spark, pieces):
+    rows = list(enumerate(t for name in sorted(SCRIPTS) for t in scripted(name)))
+    want = {i: [*pieces.tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in rows}
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    check(packing.digest(packing.pack(frame, PATH)).collect(), want)
+
+
 def test_cache_restarts(texts):
     small = wordpieces.WordPieces(PATH, cache=10)
     for text in list(texts.values())[:5]:
