@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assetloom.llm.arrow import CHUNK_ROWS, bound_batches, give_back
-from assetloom.llm.wordpieces import WordPieces, steps
+from assetloom.llm.wordpieces import STEP_BYTES, pieces_of, steps
 from assetloom.storage import Scratch
 
 WINDOW = 2048
@@ -196,21 +196,32 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | No
 
 def _encoder(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = WordPieces(path)
+        pieces = pieces_of(path)
         end = np.uint16(end_id)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            names = batch.column(batch.schema.get_field_index("doc_id"))
+        for table in _grouped(batches, STEP_BYTES):
+            texts, names = table["text"].combine_chunks(), table["doc_id"].combine_chunks()
             for begin, stop in steps(texts):
                 flat, ends = pieces.encode(texts.slice(begin, stop - begin))
                 own = [np.append(flat[ends[i] : ends[i + 1]], end).astype("<u2").tobytes() for i in range(stop - begin)]
                 yield pa.RecordBatch.from_arrays([names.slice(begin, stop - begin), pa.array(own, pa.binary())], names=["doc_id", "ids"])
-        del pieces
         give_back()
 
     return run
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Tables of about ``most`` bytes: fewer and larger steps meet fewer distinct words."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= 0.75 * most:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _held(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
     """The ids of a batch's rows, some rows at a time."""
     ids = batch.column(batch.schema.get_field_index("ids"))
