@@ -1,7 +1,9 @@
+import math
 import random
 import zlib
 
 import numpy as np
+import pytest
 
 from assetloom.llm import byte_cnn, labelled, toxicity
 
@@ -107,6 +109,56 @@ def test_held_out_rows_do_not_train(spark, documents, labels):
         assert found and not set(found) & (held - train)
 
 
+def test_labels_beside_the_documents(spark):
+    """Labels of many other ids do not use up the sample; its bytes are bounded by whole texts."""
+    rows = [(i, f"text {i} " * (500 if i == 7 else 1)) for i in range(100)]
+    docs = spark.createDataFrame([*rows, rows[3], (None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20_000)] + [(None, 1)], "doc_id long, quality int")
+    want = {t: i % 2 for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    texts, found = labelled.labelled_sample(docs, labels, "quality", 4, 2, 300)
+    assert dict(zip(texts, found)) == want and len(texts) == len(want)
+    short, _ = labelled.labelled_sample(docs, labels, "quality", 4, 2, 300, most_bytes=400)
+    assert rows[7][1] not in short and 300 < sum(map(len, short)) <= 400 and set(short) < set(want)
+    few, _ = labelled.labelled_sample(docs, labels, "quality", 4, 2, 10)
+    assert len(few) == 10 and few == texts[:10]
+
+
+def plain_scores(model, texts):
+    """The network chunk by chunk: inputs, filters, maxima and dense layers without any sharing."""
+    p, out = model.p, []
+    for text in texts:
+        gap = bytes((byte_cnn.SPAN - 1) * byte_cnn.BLOCK)
+        padded = gap + text + bytes(-len(text) % byte_cnn.BLOCK or (0 if text else byte_cnn.BLOCK)) + gap
+        blocks = []
+        for at in range(0, len(padded), byte_cnn.BLOCK):
+            own = padded[at : at + byte_cnn.BLOCK]
+            lags = [sum(padded[i] == padded[i - lag] != 0 for i in range(at, at + byte_cnn.BLOCK) if i >= lag) for lag in range(1, byte_cnn.LAGS + 1)]
+            blocks.append(np.concatenate([p["embed"][b] for b in own] + [[max(lags) / byte_cnn.BLOCK]]))
+        chunks = [sum(blocks[s + i] @ p["filters"][i] for i in range(byte_cnn.SPAN)) for s in range(len(blocks) - byte_cnn.SPAN + 1)]
+        pooled = np.maximum(np.max(chunks, axis=0) + p["shift"], 0)
+        hidden = np.maximum(pooled @ p["dense"] + p["dense_shift"], 0)
+        out.append(1 / (1 + np.exp(-(hidden @ p["out"] + p["out_shift"][0]))))
+    return np.array(out)
+
+
+def test_cnn_against_plain(texts):
+    train = junk_sample(1, 60)
+    model = byte_cnn.fit([t for t, _ in train], [y for _, y in train], epochs=1)
+    some = [b"", b"short", b"exactly8", "é ü word word word".encode() * 9, *(t.encode() for t in list(texts.values())[:6])]
+    assert np.allclose(model.scores(some), plain_scores(model, some), atol=1e-4)
+
+
+def test_toxicity_against_plain(documents, labels, texts):
+    """Scores of the query are the logistic of the summed weights of every word and beginning."""
+    model = toxicity.fit_documents(documents, labels)
+    some = dict(list(texts.items())[:40])
+    by_id = {r["doc_id"]: r["score"] for r in toxicity.toxicity(documents, labels).collect()}
+    for i, text in some.items():
+        words = toxicity.WORD.findall(text.lower())
+        total = sum(model.weights.get(f, 0.0) for w in words for f in toxicity.stems(w))
+        assert by_id[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, model.bias + 100 * total / max(1, len(words)))))))
+
+
 def contract(frame, docs, folds, out, cut):
     rows = frame.collect()
     assert len(rows) == docs.count()
