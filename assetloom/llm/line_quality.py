@@ -2,16 +2,17 @@
 
 Base rules look at one document (length, repeated three-word windows). The
 method looks across documents: lines are normalised (A-Z in lower case, words
-joined by one space) and hashed with their host, the distinct documents with a
-line are counted per host, and a line in more than ``max_docs`` documents of
-a host is removed from all but the first document (smallest id) that has it.
-Documents left with less than ``min_left`` of their words are rejected.
-Exact copies count as one document: to drop them is the task of
-deduplication, and a copied clean text is no boilerplate.
-
-Rows: null text is empty (no words, so the base rule fails); null hosts form
-one host; repeated rows are judged row by row; an empty table gives an empty
-result; extra columns are ignored.
+joined by one space) and hashed with their host, and the distinct documents
+with a line are counted per host. A line in more documents of a host than its
+limit is removed from all of them. The limit is ``max_docs`` documents or the
+share ``max_share`` of the host's documents, whichever is more, so that a
+verdict does not turn with the size of the table. Documents left with less
+than ``min_left`` of their words are rejected.
+
+Rows: a document is an id, and each row without an id is one of its own; null
+text is empty (no words, so the base rule fails); null hosts form one host;
+repeated rows are judged row by row and count as one document; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,15 +25,18 @@ from assetloom.llm.arrow import map_chunks, utf8
 from assetloom.storage import Scratch
 
 MIN_WORDS = 50
-MAX_DOCS = 20
+#: A line's limit: documents, and the part of its host's documents (one in so many).
+MAX_DOCS, MAX_SHARE = 20, 100
 MIN_LEFT = 0.25
 
 SYMBOLS = b"#*$%&|<>"
+#: Frequent lines up to this number may be broadcast (8 bytes each); more meet the lines in salted parts.
+BROADCAST_LINES, SALTS = 1_000_000, 64
 NOT_WORD_CHARS = b" \t\n\x0b\f\r" + bytes(range(0x80, 0xC0))
 
 STATS = (
-    "row long, doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, content long, line_keys array<long>, line_words array<int>"
+    "row long, doc_id long, host long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    "n_repeat_words long, line_keys array<long>, line_words array<int>"
 )
 
 
@@ -61,7 +65,7 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def document_stats(text: bytes, host: bytes) -> tuple:
-    """Base counts of one text, its content hash, and its distinct lines with their words."""
+    """Base counts of one text, and its distinct lines with their words."""
     words: list[bytes] = []
     lines: dict[int, int] = {}
     exact: set[bytes] = set()
@@ -76,8 +80,7 @@ def document_stats(text: bytes, host: bytes) -> tuple:
             lines[key] = lines.get(key, 0) + len(own)
     return (
         len(words), len(text.translate(None, NOT_WORD_CHARS)), len(text) - len(text.translate(None, SYMBOLS)),
-        with_word - len(exact), repeated_words(words), xxhash.xxh64_intdigest(text) - (1 << 63),
-        list(lines), list(lines.values()),
+        with_word - len(exact), repeated_words(words), list(lines), list(lines.values()),
     )
 
 
@@ -90,11 +93,11 @@ def _make():
         nonlocal row
         hosts = [b"\1" + h if h is not None else b"\0" for h in batch.column("host").cast("binary").to_pylist()]
         found = [document_stats(t, h) for t, h in zip(utf8(batch.column("text")), hosts)]
-        columns = list(zip(*found)) if found else [[]] * 8
+        columns = list(zip(*found)) if found else [[]] * 7
         rows = list(range(row, row + len(found)))
         row += len(found)
-        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content", "line_keys", "line_words")
-        return {"row": rows, "doc_id": batch.column("doc_id")} | dict(zip(names, columns))
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_keys", "line_words")
+        return {"row": rows, "doc_id": batch.column("doc_id"), "host": [xxhash.xxh64_intdigest(h) - (1 << 63) for h in hosts]} | dict(zip(names, columns))
 
     return step
 
@@ -105,6 +108,7 @@ def line_quality(
     doc_id: str = "doc_id",
     host: str = "source",
     max_docs: int = MAX_DOCS,
+    max_share: int = MAX_SHARE,
     min_left: float = MIN_LEFT,
 ) -> DataFrame:
     """Return the counts and verdicts of every row.
@@ -115,17 +119,16 @@ def line_quality(
     scratch = Scratch(docs.sparkSession, "lines")
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
     stats = scratch.save(map_chunks(given, _make, STATS), "stats")
-    lines = stats.select("row", "doc_id", "content", F.explode(F.arrays_zip("line_keys", "line_words")).alias("x")).select(
-        "row", "doc_id", "content", F.col("x.line_keys").alias("line"), F.col("x.line_words").alias("words")
-    )
-    # one row per distinct text first, so that a line's documents are counted in parts
-    texts = lines.groupBy("line", "content").agg(F.min("doc_id").alias("first"))
-    frequent = texts.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")).where(F.col("n") > max_docs)
-    frequent = scratch.save(frequent.select("line", "first"), "frequent")
-    removed = (
-        lines.join(frequent, "line").where(~F.col("doc_id").eqNullSafe(F.col("first")))
-        .groupBy("row").agg(F.sum("words").alias("removed"))
+    lines = stats.select("row", F.explode(F.arrays_zip("line_keys", "line_words")).alias("x")).select(
+        "row", F.col("x.line_keys").alias("line"), F.col("x.line_words").alias("words")
     )
+    frequent = scratch.save(_frequent(stats, max_docs, max_share), "frequent")
+    if frequent.count() <= BROADCAST_LINES:
+        hit = lines.join(F.broadcast(frequent), "line")
+    else:  # by definition these lines are hot keys
+        salts = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hit = lines.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salts, ["line", "salt"])
+    removed = hit.groupBy("row").agg(F.sum("words").alias("removed"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     removed_words = F.coalesce("removed", F.lit(0)).cast("long")
     out = stats.join(removed, "row", "left").select(
@@ -134,3 +137,13 @@ def line_quality(
     )
     depleted = F.col("n_words") - F.col("removed_words") < F.lit(min_left) * F.col("n_words")
     return out.withColumn("depleted", depleted).withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
+
+
+def _frequent(stats: DataFrame, max_docs: int, max_share: int) -> DataFrame:
+    """Keys of the lines beyond their host's limit; a line's key holds its host."""
+    # a row without an id is told apart by its number
+    who = ("doc_id", F.when(F.col("doc_id").isNull(), F.col("row")).alias("alone"))
+    count = lambda frame, *key: frame.distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    limits = count(stats.select("host", *who), "host").select("host", F.greatest(F.lit(max_docs), F.floor(F.col("n") / max_share)).alias("most"))
+    found = count(stats.select("host", *who, F.explode("line_keys").alias("line")), "host", "line").where(F.col("n") > max_docs)
+    return found.join(limits, "host").where("n > most").select("line")

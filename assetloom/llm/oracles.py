@@ -38,6 +38,8 @@ QUALITY_RULES = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t,
          CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS host FROM documents),
+named AS (SELECT *, CASE WHEN doc_id IS NULL THEN 'r' || row ELSE 'd' || doc_id END AS document FROM docs),
+limits AS (SELECT host, greatest(20, count(DISTINCT document) // 100) AS most FROM named GROUP BY host),
 words AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs),
 windows AS (
   SELECT row, unnest(range(1, greatest(len(w) - 1, 1))) AS i,
@@ -45,18 +47,16 @@ windows AS (
 twice AS (SELECT row, i, count(*) OVER (PARTITION BY row, g) AS c FROM windows),
 repeats AS (
   SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS p FROM twice WHERE c > 1) GROUP BY row),
-lines AS (SELECT row, doc_id, host, t, unnest(string_split(t, chr(10))) AS line FROM docs),
+lines AS (SELECT row, document, host, unnest(string_split(t, chr(10))) AS line FROM named),
 worded AS (
   SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dups AS (SELECT row, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY row),
 normal AS (
-  SELECT row, doc_id, host, t, len(w) AS n,
+  SELECT row, document, host, len(w) AS n,
          translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line FROM worded),
 frequent AS (
-  SELECT host, line, min(doc_id) AS first FROM normal GROUP BY host, line HAVING count(DISTINCT t) > 20),
-removed AS (
-  SELECT n.row, sum(n.n) AS n FROM normal n JOIN frequent f USING (host, line)
-  WHERE n.doc_id IS DISTINCT FROM f.first GROUP BY n.row),
+  SELECT host, line FROM normal JOIN limits USING (host) GROUP BY host, line HAVING count(DISTINCT document) > any_value(most)),
+removed AS (SELECT n.row, sum(n.n) AS n FROM normal n JOIN frequent f USING (host, line) GROUP BY n.row),
 counted AS (
   SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words,
          CAST(length(regexp_replace(d.t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
