@@ -32,6 +32,29 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Sources up to this number are summed in one task, and may be broadcast (a row of fixed size each).
+FEW_SOURCES = 100_000
+
+
+def _prefix(frame: DataFrame, scratch: Scratch, n: int, order: list[Column], **sums: Column) -> DataFrame:
+    """``frame`` with running sums, the row's own included, in the given order.
+
+    Beyond ``FEW_SOURCES`` rows the order is cut into ranges; sums of whole
+    ranges, at most one row for each ``FEW_SOURCES``, give each its offset.
+    """
+    if n <= FEW_SOURCES:
+        upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return frame.select("*", *[F.sum(c).over(upto).alias(k) for k, c in sums.items()])
+    parts = -(-n // FEW_SOURCES)
+    ranged = scratch.save(frame.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
+    offsets = totals.select(F.col("_part").alias("_of"), *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums])
+    upto = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = ranged.join(F.broadcast(offsets), F.col("_part") == F.col("_of"))
+    return inside.select(*frame.columns, *[(F.sum(c).over(upto) + F.col(f"_{k}")).alias(k) for k, c in sums.items()])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """``(source, source_size, target)`` from one row ``(source, source_size)`` per source.
 
@@ -41,29 +64,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
     source has the same level, target / weight, and the capped ones are those
     of the smallest cap / weight: so the level follows from running sums.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
+    scratch = Scratch(sizes.sparkSession, "targets")
+    sizes = scratch.save(sizes, "sizes")
+    n, total = sizes.agg(F.count(F.lit(1)), F.sum("source_size")).first()
     w = F.element_at(F.array(*[F.lit(int(x)) for x in weights]), ((F.col("rn") - 1) % len(weights) + 1).cast("int"))
-    base = sizes.withColumn("rn", F.row_number().over(order)).withColumn("w", w.cast("long")).withColumn(
-        "cap", (F.col("source_size") * CAP).cast("long")
-    )
-    ratio = (F.col("cap").cast("double") / F.col("w")).alias("ratio")
-    rising = Window.orderBy("ratio", "rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.orderBy("ratio", "rn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    run = base.select("*", ratio).select(
-        "*",
-        (F.sum("cap").over(rising) - F.col("cap")).alias("cap_before"),
-        (F.sum("w").over(whole) - F.sum("w").over(rising) + F.col("w")).alias("w_from"),
-        F.sum("source_size").over(whole).alias("total"),
-    )
+    numbered = _prefix(sizes, scratch, n, [F.col("source").asc_nulls_last()], rn=F.lit(1)).withColumn("w", w.cast("long"))
+    base = numbered.withColumn("cap", (F.col("source_size") * CAP).cast("long"))
+    base = scratch.save(base.withColumn("ratio", F.col("cap").cast("double") / F.col("w")), "base")
+    weight = base.agg(F.sum("w")).first()[0] or 0
+    run = _prefix(base, scratch, n, [F.col("ratio"), F.col("rn")], caps=F.col("cap"), upto=F.col("w"))
     # 2 * budget = 3 * total is whole, so the numerator is exact
-    level = (SHARE_NUM * F.col("total") - SHARE_DEN * F.col("cap_before")).cast("double") / (
-        SHARE_DEN * F.col("w_from")
+    level = (F.lit(SHARE_NUM * (total or 0)) - SHARE_DEN * (F.col("caps") - F.col("cap"))).cast("double") / (
+        SHARE_DEN * (F.lit(weight) - F.col("upto") + F.col("w"))
     )
-    run = run.withColumn("level", level)
-    open_level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rn", "level"))).over(whole)
-    run = run.withColumn("open", open_level["level"])
-    target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("open"), F.lit(float("inf"))) * F.col("w"))
-    return run.select("source", "source_size", target.alias("target"))
+    first = run.withColumn("level", level).agg(F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rn", "level")))["level"]).first()[0]
+    target = F.least(F.col("cap").cast("double"), F.lit(float("inf") if first is None else first) * F.col("w"))
+    return base.select("source", "source_size", target.alias("target"))
 
 
 def order_key(doc_id: Column, seed: str) -> Column:
@@ -71,17 +87,44 @@ def order_key(doc_id: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
+#: A range is hot if it has so many times the rows that it should have; then rows repeat an id.
+HOT_RANGE = 4
+
+
+def _ranges(rows: DataFrame, scratch: Scratch, rows_per_range: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their range, and the rows and words of each range.
+
+    Keys are cut by their leading digits. Only rows with equal ids can make a
+    range much larger than others; in such a range each key, size and
+    partition of the input is a range of its own, in the same order.
+    """
+    n = rows.select(F.count(F.lit(1)).alias("n")).first()["n"]
+    digits = 2
+    while 16**digits * rows_per_range < n:
+        digits += 1
+    total = lambda frame: frame.groupBy("source", "range").agg(F.sum("size").alias("range_size"), F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("range", F.substring("key", 1, digits))
+    sums = scratch.save(total(rows), "ranges")
+    hot = sums.where(F.col("n") > HOT_RANGE * rows_per_range).select(F.col("source").alias("h_source"), F.col("range").alias("h_range"))
+    found = hot.count()
+    if not found:
+        return rows, sums
+    whole = lambda c: F.lpad(c.cast("string"), 20, "0")
+    own = F.concat("key", F.lit(":"), whole(F.col("size")), F.lit(":"), whole(F.spark_partition_id()))
+    hot = F.broadcast(hot) if found <= FEW_SOURCES else hot
+    rows = rows.withColumn("own", own).join(hot, F.col("source").eqNullSafe(F.col("h_source")) & (F.col("range") == F.col("h_range")), "left")
+    rows = rows.withColumn("range", F.when(F.col("h_range").isNotNull(), F.col("own")).otherwise(F.col("range"))).drop("own", "h_source", "h_range")
+    rows = scratch.save(rows, "rows")
+    return rows, scratch.save(total(rows), "split-ranges")
+
+
 def _placed(docs: DataFrame, text: str, doc_id: str, source: str, weights: tuple[int, ...], seed: str, rows_per_range: int) -> DataFrame:
     """Every row with its source's epochs, and the words that the last pass takes of it."""
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), order_key(F.col(doc_id), seed).alias("key")
     )
-    n = docs.select(F.count(F.lit(1)).alias("n")).first()["n"]
-    digits = 2
-    while 16**digits * rows_per_range < n:
-        digits += 1
-    rows = rows.withColumn("range", F.substring("key", 1, digits))
-    sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    scratch = Scratch(docs.sparkSession, "mix")
+    rows, sums = _ranges(rows, scratch, rows_per_range)
     targets = source_targets(sums.groupBy("source").agg(F.sum("range_size").cast("long").alias("source_size")), weights)
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("offset", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
@@ -138,10 +181,6 @@ def leading_words(text: Column, n: Column) -> Column:
     return F.substring(text, F.lit(1), F.greatest(upto, F.lit(0)).cast("int"))
 
 
-#: Sources up to this number may be broadcast (a row of fixed size each); more go through a shuffle.
-BROADCAST_SOURCES = 100_000
-
-
 def mix_documents(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS,
     seed: str = "mix-1", rows_per_range: int = 20_000,
@@ -152,45 +191,68 @@ def mix_documents(
     with its leading words if the cut falls inside it; documents that are not
     taken, and those without words, go. ``n_chars``, if there, follows the text.
 
-    The prefix sums give each source's last document before the cut and the
-    one at it, so texts are compared with these in place and never shuffled.
-    Rows that repeat the document at the cut all stay with it.
+    The prefix sums give each source's place of the cut, so rows are compared
+    with it where they are, and texts move only above ``FEW_SOURCES`` sources.
+    Rows that repeat the id and size of the document at the cut are numbered,
+    and as many of them as the budget holds go with it.
     """
+    scratch = Scratch(docs.sparkSession, "mix")
     place = F.struct("key", "doc_id", "size")
-    full = F.col("once_more") == F.col("size")
-    cuts = _placed(docs, text, doc_id, source, weights, seed, rows_per_range).where("size > 0").groupBy("source").agg(
-        F.max("epochs").alias("epochs"), F.max(F.when(full, place)).alias("last"), F.max(F.when(~full & (F.col("once_more") > 0), place)).alias("part"),
-        F.max(F.when(~full, F.col("once_more"))).alias("part_words"),
-    )
+    short = F.col("once_more") < F.col("size")
+    # at each place: rows taken whole, rows in all, and the words of the one that is cut
+    taken = _placed(docs, text, doc_id, source, weights, seed, rows_per_range).where("size > 0").select(
+        "source", "epochs", "once_more", place.alias("place"), short.alias("short")
+    )
+    edge = F.min(F.when(F.col("short"), F.col("place"))).alias("cut")
+    last = F.max(F.when(~F.col("short"), F.col("place"))).alias("last")
+    cuts = taken.groupBy("source").agg(
+        F.max("epochs").alias("epochs"), edge, last, F.max(F.when(F.col("short"), F.col("once_more"))).alias("part_words")
+    )
+    cuts = scratch.save(cuts, "cuts")
+    few = cuts.count() <= FEW_SOURCES
+    near = F.broadcast(cuts) if few else cuts
     names = docs.columns
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("given"))
     body, size = F.col("given")[text], word_count(F.col("given")[text])
     own = F.struct(order_key(F.col("given")[doc_id], seed).alias("key"), F.col("given")[doc_id].alias("doc_id"), size.alias("size"))
-    rows = given.withColumn("own", own).where("own.size > 0")
-    scratch = Scratch(docs.sparkSession, "mix")
-    cuts = scratch.save(cuts, "cuts")
-    if cuts.count() <= BROADCAST_SOURCES:
-        cuts = F.broadcast(cuts)
-    rows = rows.join(cuts, F.col("given")[source].eqNullSafe(cuts["source"]))
-    whole = F.col("epochs") + F.coalesce(F.col("own") <= F.col("last"), F.lit(False)).cast("long")
-    cut_here = F.coalesce((F.col("own") == F.col("part")) & (F.col("own") != F.coalesce("last", own_nothing())), F.lit(False))
+    rows = given.withColumn("own", own).where("own.size > 0").join(near, F.col("given")[source].eqNullSafe(near["source"]))
+    before = F.coalesce(F.col("own") < F.col("cut"), F.lit(True))
+    at_cut = F.coalesce(F.col("own") == F.col("cut"), F.lit(False))
+    number = F.lit(0).cast("long")
+    tied = F.coalesce(F.col("last") == F.col("cut"), F.lit(False))
+    if not cuts.where(tied).isEmpty():
+        full = taken.join(near.where(tied).select(F.col("source").alias("c_source"), "cut"), F.col("source").eqNullSafe(F.col("c_source")))
+        full = full.where((F.col("place") == F.col("cut")) & ~F.col("short")).groupBy("source").agg(F.count(F.lit(1)).alias("full"))
+        rows = _numbered(rows.where(at_cut & tied), scratch, near.drop("source").columns).join(
+            scratch.save(full.select(F.col("source").alias("f_source"), "full"), "full"), F.col("given")[source].eqNullSafe(F.col("f_source"))
+        ).drop("f_source").unionByName(rows.where(~(at_cut & tied)).drop("source").withColumns({"number": number, "full": number}))
+    else:
+        rows = rows.withColumns({"number": number, "full": number})
+    once = before | (at_cut & (F.col("number") < F.col("full")))
+    partly = at_cut & (F.col("number") == F.col("full")) & (F.col("part_words") > 0)
     copies = F.concat(
-        F.array_repeat(F.lit(0).cast("long"), whole.cast("int")),
-        F.when(cut_here, F.array("part_words")).otherwise(F.array().cast("array<bigint>")),
+        F.array_repeat(F.lit(0).cast("long"), (F.col("epochs") + once.cast("long")).cast("int")),
+        F.when(partly, F.array("part_words")).otherwise(F.array().cast("array<bigint>")),
     )
-    out = rows.withColumn("cut", F.explode(copies))
-    new_text = F.when(F.col("cut") > 0, leading_words(body, F.col("cut"))).otherwise(body)
+    out = rows.withColumn("words", F.explode(copies))
+    new_text = F.when(F.col("words") > 0, leading_words(body, F.col("words"))).otherwise(body)
     columns = []
     for c in names:
         value = F.col("given")[c]
         if c == text:
             value = new_text
         elif c == "n_chars":
-            value = F.when(F.col("cut") > 0, F.length(new_text).cast(docs.schema[c].dataType)).otherwise(value)
+            value = F.when(F.col("words") > 0, F.length(new_text).cast(docs.schema[c].dataType)).otherwise(value)
         columns.append(value.alias(c))
     return out.select(*columns)
 
 
-def own_nothing() -> Column:
-    """A place before all others."""
-    return F.struct(F.lit("").alias("key"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("size"))
+def _numbered(rows: DataFrame, scratch: Scratch, keep: list[str]) -> DataFrame:
+    """Rows with a number from 0 among those of their source and place, by the partition they were read in and within it."""
+    rows = scratch.save(rows.select("given", F.struct("source", "own").alias("of"), *keep, F.spark_partition_id().alias("part")), "tied")
+    counts = rows.groupBy("of", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("of").alias("o_of"), F.col("part").alias("o_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("of", "part").orderBy(F.xxhash64("given"))
+    out = rows.withColumn("at", F.row_number().over(inside)).join(offsets, (F.col("part") == F.col("o_part")) & F.col("of").eqNullSafe(F.col("o_of")))
+    return out.select("given", F.col("of.own").alias("own"), *keep, (F.col("at") - 1 + F.col("offset")).alias("number"))
