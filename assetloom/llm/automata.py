@@ -3,31 +3,41 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, deque
 
-#: Probability kept for symbols that an automaton has not seen in a state.
+#: Least probability of a symbol or an end that an automaton has not seen in a state.
 UNSEEN = 1e-4
+#: Symbols that strings may have, besides their end; each is as likely where nothing is known.
+SYMBOLS = 67
 
 
 class Automaton:
-    """A deterministic automaton with counts; ``rows[s]`` maps a symbol to (target, count)."""
+    """A deterministic automaton with counts; ``rows[s]`` maps a symbol to (target, count).
+
+    One further observation of each state is shared out evenly to all symbols
+    and the end, so an automaton of few strings, or of none, is near to even
+    odds and needs no rule of its own.
+    """
 
     def __init__(self, rows: list[dict[str, tuple[int, int]]], stops: list[int]):
         self.rows = rows
         self.stops = stops
         self.lengths: tuple[int, int] = (0, 0)
+        self.samples = 0
         self.step = []
         for row, stop in zip(rows, stops):
-            total = sum(c for _, c in row.values()) + stop
-            self.step.append(({a: (t, math.log(c / total)) for a, (t, c) in row.items()}, math.log(max(stop / total, UNSEEN))))
+            total = sum(c for _, c in row.values()) + stop + 1
+            new = max(UNSEEN, 1 / total / SYMBOLS)
+            self.step.append(({a: (t, math.log(c / total)) for a, (t, c) in row.items()}, math.log(max(stop / total, new)), math.log(new)))
 
     def log_likelihood(self, text: str) -> float:
-        """Log-probability of the string; unseen symbols stay in their state at a fixed price."""
-        price, state, total = math.log(UNSEEN), 0, 0.0
+        """Log-probability of the string; unseen symbols stay in their state at its price."""
+        state, total, step = 0, 0.0, self.step
         for symbol in text:
-            state, gain = self.step[state][0].get(symbol, (state, price))
+            known, _, price = step[state]
+            state, gain = known.get(symbol, (state, price))
             total += gain
-        return total + self.step[state][1]
+        return total + step[state][1]
 
 
 def infer(samples: list[str], alpha: float = 0.05) -> Automaton:
@@ -89,26 +99,30 @@ def infer(samples: list[str], alpha: float = 0.05) -> Automaton:
                 else:
                     child[p][symbol] = target
 
-    kept, waiting = [0], [(0, a) for a in sorted(child[0])]
-    known = {0}
+    kept, waiting = [0], deque((0, a) for a in sorted(child[0]))
+    known, queued = {0}, set(waiting)
     while waiting:
-        source, symbol = waiting.pop(0)
+        source, symbol = waiting.popleft()
+        queued.discard((source, symbol))
         state = child[source][symbol]
         if state in known:
             continue
+        more = []
         for old in kept:
             if compatible(old, state):
                 child[source][symbol] = old
                 fold(old, state)
-                waiting += [(k, a) for k in kept for a in sorted(child[k]) if child[k][a] not in known and (k, a) not in waiting]
+                more = [(k, a) for k in kept for a in sorted(child[k]) if child[k][a] not in known and (k, a) not in queued]
                 break
         else:
             kept.append(state)
             known.add(state)
-            waiting += [(state, a) for a in sorted(child[state])]
+            more = [(state, a) for a in sorted(child[state])]
+        waiting.extend(more)
+        queued.update(more)
     number = {s: i for i, s in enumerate(kept)}
     rows = [{a: (number[t], via[s][a]) for a, t in child[s].items() if t in number} for s in kept]
     made = Automaton(rows, [stops[s] for s in kept])
     sizes = sorted(map(len, samples)) or [0]
-    made.lengths = (sizes[0], sizes[-1])
+    made.lengths, made.samples = (sizes[0], sizes[-1]), len(samples)
     return made

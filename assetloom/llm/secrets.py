@@ -3,12 +3,12 @@
 The patterns (``assign``, ``access``, ``hex``) label credentials. All labelled
 values set which other runs are candidates: their lengths, with a quarter of
 slack, and whether they have letters and digits. A bounded sample of distinct
-values per kind, the first by hash, and one of other runs train one
-automaton per kind and one for the background, on the first ``PREFIX``
-characters. Every candidate of the whole corpus is then scored: it is a secret
-if the likelihood under some kind's format beats the background's by
-``margin`` nats a character and its length is near the true lengths of that
-kind.
+whole values per kind, the first by hash, and one of other runs train one
+automaton per kind and one for the background. Every candidate of the whole
+corpus is then scored over its whole length: it is a secret if the likelihood
+under some kind's format beats the background's by ``margin`` nats a
+character, and by more the fewer samples the format has, and its length is
+near those of that kind.
 
 Rows: null text is empty and has no spans; rows are scanned one by one, so
 repeated rows and null ids are kept; an empty table trains nothing and gives
@@ -42,12 +42,11 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 FLOOR = min(LEAST.values())
 #: Runs from this length with a digit and a letter teach the background in any case.
 TOKEN_LIKE = 16
-#: Characters of a run that are learned and scored.
-PREFIX = 256
 DIGIT = re.compile(rb"[0-9]")
 LETTER = re.compile(rb"[A-Za-z]")
 
-SAMPLE = 400
+#: Sampled values per kind, and four times as many other runs; bytes of either's values together.
+SAMPLE, SAMPLE_BYTES = 400, 400_000
 MARGIN = 0.5
 FOUND = "format"
 
@@ -100,12 +99,17 @@ def _run(low: int) -> re.Pattern:
 
 
 def token_runs(text: bytes, taken: list[tuple], shapes: list[Shape]) -> list[tuple[int, int, bytes]]:
-    """Runs that fit one of the shapes, and token-like ones for the background, that touch no base span."""
-    out = []
+    """Runs that fit one of the shapes, and token-like ones for the background, that touch no base span.
+
+    ``taken`` is in the order of ``base_matches``, so one sweep over both is enough.
+    """
+    out, at, reach = [], 0, 0
     for m in _run(min([TOKEN_LIKE, *(s.bounds()[0] for s in shapes)])).finditer(text):
         size, kind = len(m[0]), class_of(m[0])
         wanted = size >= TOKEN_LIKE and kind == (True, True) or any(x.fits(size, kind) for x in shapes)
-        if wanted and not any(m.start() < e and s < m.end() for _, s, e, _ in taken):
+        while at < len(taken) and taken[at][1] < m.end():
+            reach, at = max(reach, taken[at][2]), at + 1
+        if wanted and reach <= m.start():
             out.append((m.start(), m.end(), m[0]))
     return out
 
@@ -169,57 +173,65 @@ def extract(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     return map_chunks(given, lambda: _extract(shapes), EXTRACT)
 
 
-def _sample(values: DataFrame, size: int) -> dict[str, int]:
-    """The first ``PREFIX`` characters of some distinct values, with the true length."""
-    start = F.substring("value", 1, PREFIX).alias("value")
-    distinct = values.groupBy(start).agg(F.max(F.length("value")).alias("size"))
-    return {r["value"]: r["size"] for r in distinct.orderBy(F.xxhash64("value"), "value").limit(size).collect()}
-
+def _sample(values: DataFrame, size: int, most_bytes: int = SAMPLE_BYTES) -> list[str]:
+    """At most ``size`` distinct whole values, the first by hash, and of ``most_bytes`` together.
 
-def fit_formats(extracted: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, Automaton], Automaton | None]:
+    One that would exceed the bytes is passed over, but for the first.
+    """
+    distinct = values.select("value", F.octet_length("value").alias("size")).distinct()
+    listed = distinct.select(F.xxhash64("value").alias("of"), "size").orderBy("of", "size").limit(size).collect()
+    left, taken = most_bytes, []
+    for r in listed:
+        if r["size"] <= left or not taken:
+            left -= r["size"]
+            taken.append((r["of"],))
+    chosen = F.broadcast(values.sparkSession.createDataFrame(taken, "of long"))
+    rows = distinct.withColumn("of", F.xxhash64("value")).join(chosen, "of").select("value").collect()
+    return sorted(r["value"] for r in rows)
+
+
+def fit_formats(extracted: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, Automaton], Automaton]:
     """Automata of the labelled kinds, and that of the background.
 
-    ``sample`` bounds the strings per kind that reach the driver. Kinds with
-    fewer than 8 samples train none.
+    ``sample`` and ``SAMPLE_BYTES`` bound the strings per kind that reach the
+    driver.
     """
     creds = extracted.select(F.explode("creds").alias("x")).select("x.kind", "x.value")
     digit, letter = F.col("value").rlike("[0-9]"), F.col("value").rlike("[A-Za-z]")
     shapes = _shapes(creds.select("kind", F.length("value").alias("size"), digit.alias("digit"), letter.alias("letter")))
     formats = {}
     for kind in shapes:
-        values = _sample(creds.where(F.col("kind") == kind), sample)
-        if len(values) >= 8:
-            formats[kind] = infer(list(values))
-            formats[kind].shape = shapes[kind]
+        formats[kind] = infer(_sample(creds.where(F.col("kind") == kind), sample))
+        formats[kind].shape = shapes[kind]
     other = _sample(extracted.select(F.explode("runs").alias("x")).select("x.value"), 4 * sample)
     return formats, fit_background(other, formats)
 
 
-def fit_background(values: dict[str, int], formats: dict[str, Automaton], rounds: int = 3) -> Automaton | None:
-    """The automaton of token-like runs that are no credentials.
+def fit_background(values: list[str], formats: dict[str, Automaton], rounds: int = 3) -> Automaton:
+    """The automaton of runs that are no credentials.
 
     Credentials that the patterns miss are among the runs, so those that a
     format explains better than the background leave the sample before it is
     fitted again.
     """
-    background = infer(list(values)) if len(values) >= 8 else None
+    background = infer(values)
     for _ in range(rounds):
-        kept = {v: n for v, n in values.items() if not is_secret(v, formats, background, margin=0.0, size=n)}
-        if len(kept) == len(values) or len(kept) < 8:
+        kept = [v for v in values if not is_secret(v, formats, background, margin=0.0)]
+        if len(kept) == len(values):
             break
-        values, background = kept, infer(list(kept))
+        values, background = kept, infer(kept)
     return background
 
 
-def is_secret(value: str, formats: dict[str, Automaton], background: Automaton | None, margin: float = MARGIN, size: int | None = None) -> bool:
-    """Whether the run's likelihood under a format beats the background's; ``size`` is the true length of a cut run."""
+def is_secret(value: str, formats: dict[str, Automaton], background: Automaton, margin: float = MARGIN) -> bool:
+    """Whether the run's likelihood under a format beats the background's, for each character by
+    the margin and the uncertainty of the format's sample (one over the root of its size)."""
     kind = class_of(value.encode())
-    near = [f for f in formats.values() if shape_of(f).fits(size or len(value), kind)]
+    near = [f for f in formats.values() if shape_of(f).fits(len(value), kind)]
     if not near:
         return False
-    start = value[:PREFIX]
-    against = background.log_likelihood(start) if background else -4.2 * len(start)
-    return any(f.log_likelihood(start) - against > margin * len(start) for f in near)
+    against = background.log_likelihood(value)
+    return any(f.log_likelihood(value) - against > (margin + max(1, f.samples) ** -0.5) * len(value) for f in near)
 
 
 def shape_of(automaton: Automaton) -> Shape:
@@ -267,19 +279,25 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-def placeholder(value: bytes) -> bytes:
-    """What stands for a secret in a redacted text: equal secrets keep equal marks."""
-    return b"[SECRET-" + hashlib.sha256(value).hexdigest()[:8].encode() + b"]"
+def placeholder(value: bytes, key: bytes | None = None) -> bytes:
+    """What stands for a secret in a redacted text.
+
+    With a key, which the caller keeps, equal secrets get equal marks. Without
+    one there is no mark, since a plain hash lets short secrets be guessed.
+    """
+    if key is None:
+        return b"[SECRET]"
+    return b"[SECRET-" + hashlib.blake2b(value, key=key, digest_size=8).hexdigest().encode() + b"]"
 
 
-def redact_text(text: bytes, model) -> bytes:
+def redact_text(text: bytes, model, key: bytes | None = None) -> bytes:
     """The text with every secret span replaced."""
     spans = base_matches(text)
     loose = token_runs(text, spans, [shape_of(f) for f in model[0].values()])
     spans = [(s, e) for _, s, e, _ in spans] + [(s, e) for s, e, v in loose if is_secret(v.decode(), *model)]
     out, at = [], 0
     for start, end in _merged(spans):
-        out += [text[at:start], placeholder(text[start:end])]
+        out += [text[at:start], placeholder(text[start:end], key)]
         at = end
     return b"".join([*out, text[at:]])
 
@@ -294,10 +312,10 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def redact(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", sample: int = SAMPLE, key: bytes | None = None) -> DataFrame:
     """``docs`` with secrets replaced by placeholders; ``n_chars``, if there, follows the text.
 
-    Null texts stay null.
+    Null texts stay null. ``key`` is that of ``placeholder``.
     """
     scratch = Scratch(docs.sparkSession, "redact")
     extracted = scratch.save(extract(docs.withColumn("_none", F.lit(None).cast("long")), text, "_none"), "extracted")
@@ -309,7 +327,7 @@ def redact(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFra
         def step(batch):
             out = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             texts = out[text].cast("binary").to_pylist()
-            clean = [t if t is None else redact_text(t, model) for t in texts]
+            clean = [t if t is None else redact_text(t, model, key) for t in texts]
             out[text] = pa.array(clean, pa.binary()).cast(pa.string())
             if "n_chars" in out:
                 old = out["n_chars"].to_pylist()
