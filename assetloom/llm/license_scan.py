@@ -3,17 +3,25 @@
 A text and a template are word sequences. Words that occur once in both are
 anchors; the longest increasing run of their positions is kept, and the gaps
 between kept anchors are aligned in the same way. A gap without anchors keeps
-its common ends and, while it is small, a longest common subsequence. Coverage
-is the share of the template's words that are aligned.
+its common ends and a longest common subsequence, found in linear space.
+Coverage is the share of the template's words that are aligned.
 
-Two exact filters come first. A text that covers the share ``least`` of a
-template has one word of any set of more than the other share of its words, so
-a few rare words of each template decide whether a text is split at all. And
-an aligned passage lies in a window in which that many words are the
-template's, so only such windows are aligned; all passages of a text are found.
+A passage is a window of the template's length and a quarter more (three words
+at least) that covers the share ``least`` of the template; where more words
+than that are put in, no passage is found. Three exact filters come first. A
+text that covers that share has one word of any set of more than the other
+share of the template's words, so a few rare words of each template decide
+whether a text is split at all. A window must hold that many words of the
+template, and a common subsequence of that length, which bit vectors count
+fast. All passages of a text are found, from left to right.
+
+The built-in templates are notices and headers of common licenses and the
+bodies of short ones; longer bodies can be given.
 
 Rows: null and empty texts have no passages; repeated rows give repeated
-passages; an empty table gives an empty result; extra columns are ignored.
+passages; of overlapping passages the one of more aligned words stays, then
+that of more coverage, the earlier, and the first by name; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,16 +31,15 @@ from bisect import bisect_left
 from collections import Counter
 from math import ceil
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from assetloom.llm.arrow import map_chunks
 
 LEAST = 0.8
 WORD = re.compile(r"\w+(?:[.\-]\w+)*")
-#: Cells of the table for the common subsequence of a gap without anchors.
-GAP_CELLS = 10_000
 
-#: Notices and permission texts of common licenses.
+#: Notices, permission texts and bodies of common licenses.
 TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -48,6 +55,46 @@ TEMPLATES = {
     "isc-permission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "bsd-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution.""",
+    "unlicense-body": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
 }
 
 
@@ -78,21 +125,33 @@ def rising_run(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` and each beginning of ``b``."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        longer = np.maximum(row[1:], row[:-1] + (b == x))
+        np.maximum.accumulate(longer, out=row[1:])
+    return row
+
+
 def common_subsequence(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
+    """A longest common subsequence, by halving: the best cut of the one for each half of the other."""
+    number: dict[str, int] = {}
+    x, y = (np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in (a, b))
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        if alo == ahi or blo == bhi:
+            continue
+        if ahi - alo == 1:
+            found = np.flatnonzero(y[blo:bhi] == x[alo])
+            out += [(alo, blo + int(found[0]))] if len(found) else []
+            continue
+        mid = (alo + ahi) // 2
+        cut = blo + int((_lengths(x[alo:mid], y[blo:bhi]) + _lengths(x[mid:ahi][::-1], y[blo:bhi][::-1])[::-1]).argmax())
+        todo += [(alo, mid, blo, cut), (mid, ahi, cut, bhi)]
+    return sorted(out)
 
 
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -114,8 +173,7 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         shared = [(place[b[j]], j) for j in range(blo, bhi) if b[j] in place]
         anchors = [shared[k] for k in rising_run([i for i, _ in shared])]
         if not anchors:
-            if (ahi - alo) * (bhi - blo) <= GAP_CELLS:
-                pairs += [(alo + i, blo + j) for i, j in common_subsequence(a[alo:ahi], b[blo:bhi])]
+            pairs += [(alo + i, blo + j) for i, j in common_subsequence(a[alo:ahi], b[blo:bhi])]
             continue
         pairs += anchors
         for (i, j), (k, m) in zip([(alo - 1, blo - 1), *anchors], [*anchors, (ahi, bhi)]):
@@ -128,15 +186,27 @@ class Template:
     def __init__(self, name: str, text: str, least: float):
         self.name, self.least = name, least
         self.words = split_words(text)[0]
-        self.vocabulary = set(self.words)
+        self.places: dict[str, int] = {}
+        for k, word in enumerate(self.words):
+            self.places[word] = self.places.get(word, 0) | 1 << k
         self.need = ceil(least * len(self.words))
         self.window = len(self.words) + max(3, len(self.words) // 4)
         rare = sorted(range(len(self.words)), key=lambda i: (-len(self.words[i]), i))
         self.triggers = {self.words[i] for i in rare[: len(self.words) - self.need + 1]}
 
+    def common(self, bits: list[int], begin: int, end: int) -> int:
+        """Length of the longest common subsequence of some words and the template; ``bits`` has each word's places in it."""
+        full = (1 << len(self.words)) - 1
+        open_ = full  # a zero stands for a step of the length
+        for k in range(begin, end):
+            here = open_ & bits[k]
+            open_ = ((open_ + here) | (open_ - here)) & full
+        return len(self.words) - open_.bit_count()
+
     def passages(self, words: list[str]) -> list[tuple[int, int, int]]:
         """``(first word, last word, aligned words)`` of each passage, from left to right."""
-        own = [i for i, w in enumerate(words) if w in self.vocabulary]
+        own = [i for i, w in enumerate(words) if w in self.places]
+        bits = [self.places[words[i]] for i in own]
         out: list[tuple[int, int, int]] = []
         k = 0
         while k + self.need <= len(own):
@@ -144,6 +214,10 @@ class Template:
             if own[k + self.need - 1] >= begin + self.window:
                 k += 1
                 continue
+            end = bisect_left(own, begin + self.window, k)
+            if self.common(bits, k, end) < self.need:
+                k += 1
+                continue
             pairs = align(words[begin : begin + self.window], self.words)
             if len(pairs) >= self.need:
                 last = begin + pairs[-1][0]

@@ -30,6 +30,64 @@ def test_patience_reaches_edited_notices(name):
         assert len(pairs) >= 0.9 * lcs(edited, words)
 
 
+def test_gaps_without_anchors_are_whole():
+    """A long text of few words has no anchors; all of its common subsequence is aligned."""
+    rng = random.Random(5)
+    for n, m, words in ((120, 125, "ab"), (400, 300, "abcd"), (1, 50, "ab"), (2_000, 1_500, "abc")):
+        a, b = (rng.choices(words, k=k) for k in (n, m))
+        pairs = license_scan.common_subsequence(a, b)
+        assert len(pairs) == lcs(a, b) and all(a[i] == b[j] for i, j in pairs)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+    a = rng.choices("ab", k=120)
+    assert len(license_scan.align(["x", *a, "y"], [*a[:60], "q", *a[60:]])) >= 118
+
+
+def plain_passages(words, template):
+    """Every window is aligned, without any filter."""
+    out, begin = [], 0
+    while begin < len(words):
+        pairs = license_scan.align(words[begin : begin + template.window], template.words) if words[begin] in template.words else []
+        if len(pairs) >= template.need:
+            out.append((begin + pairs[0][0], begin + pairs[-1][0], len(pairs)))
+            begin += pairs[-1][0]
+        begin += 1
+    return out
+
+
+def test_filters_lose_nothing(texts):
+    rng = random.Random(2)
+    some = [license_scan.split_words(t)[0][:400] for t in list(texts.values())[:30]]
+    listed = [license_scan.split_words(t)[0] for t in license_scan.TEMPLATES.values()]
+    for own in listed:
+        own = [w if rng.random() > 0.12 else rng.choice(own) for w in own for _ in range(1 + (rng.random() > 0.95)) if rng.random() > 0.06]
+        some.append(rng.choice(some[:30])[:20] + own + ["and", "the", "software"] + rng.choice(listed)[:30])
+    some.append(rng.choices(listed[10], k=300))
+    hits = 0
+    for words in some:
+        for template in TEMPLATES:
+            found = template.passages(words)
+            assert found == plain_passages(words, template)
+            hits += len(found)
+            window = [w for w in words[: template.window] if w in template.places]
+            bits = [template.places[w] for w in window]
+            assert template.common(bits, 0, len(bits)) == lcs(window, template.words)
+    assert hits >= 20
+
+
+def test_license_bodies():
+    for name in ("mit", "isc", "bsd-2-clause", "bsd-3-clause", "zlib", "unlicense-body"):
+        text = "Some words before.\n" + license_scan.TEMPLATES[name].replace("software", "program", 2) + "\nAnd some after."
+        assert [f[0] for f in license_scan.find_licenses(text, TEMPLATES)] == [name]
+
+
+def test_license_ties(spark):
+    """Two templates of one text: the first by name stays; repeated rows give repeated passages."""
+    frame = spark.createDataFrame([(1, "Released under the MIT License.")] * 2 + [(None, "released under the mit license")], "doc_id long, text string")
+    both = {"b": "Released under the MIT License", "a": "released under the mit license"}
+    rows = license_scan.scan_licenses(frame, templates=both).collect()
+    assert sorted((str(r["doc_id"]), r["license"]) for r in rows) == [("1", "a"), ("1", "a"), ("None", "a")]
+
+
 def test_all_passages_of_a_text():
     text = "é Released under the MIT License. Released UNDER the mit license!\nAll rights reserved. " + license_scan.TEMPLATES["mit-permission"].replace("sell", "rent")
     found = license_scan.find_licenses(text, TEMPLATES)
