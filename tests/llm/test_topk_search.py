@@ -29,7 +29,7 @@ def found(spark, rows, **options):
     return sorted(map(tuple, topk_search.top_k(frame, F.col("vec_id") % 50 == 0, **options).collect()))
 
 
-@pytest.mark.parametrize("slices", [1, 4])
+@pytest.mark.parametrize("slices", [1, 2, 4])
 def test_against_plain(spark, slices):
     rng = np.random.default_rng(3)
     rows = [(i, rng.standard_normal(7).tolist()) for i in range(400)] + [(1000 + i, [-0.5] * 7) for i in range(40)] + [(i, [0.1] * 7) for i in range(2000, 2060)]
@@ -42,3 +42,36 @@ def test_messy(spark):
     rows += [(52, []), (100, []), (None, [1.0, 1.0]), (0, [1.0, 2.0]), (6, [float("inf"), 0.0])] + [(200 + i, [3.0, 3.0]) for i in range(40)]
     assert found(spark, rows) == plain(rows)
     assert found(spark, [], slices=4) == []
+
+
+def test_only_entries_are_resolved(spark):
+    """The cutoff is safe and leaves a small part of all pairs to the third phase; no result lies outside of it."""
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    search = topk_search._Search(vectors, F.col("vec_id") % 50 == 0, 5, topk_search.SLICES, "vec_id", "embedding")
+    entries = {(r["query"], r["row"]) for r in search.over_share().collect()}
+    n, queries = vectors.count(), search.queries.count()
+    assert len(entries) < 0.25 * n * queries
+    ids = {r["query"]: r["query_id"] for r in search.queries.collect()}
+    row_ids = {r["row"]: r["vec_id"] for r in search.rows.collect()}
+    named = {(ids[q], row_ids[v]) for q, v in entries}
+    result = search.result().collect()
+    assert all((r["query_id"], r["vec_id"]) in named for r in result)
+    least = {r["query_id"]: r["score"] for r in result if r["rank"] == 5}
+    assert all(r["cutoff"] <= least[ids[r["query"]]] for r in search.cutoffs().collect())
+
+
+def test_ids_of_several_vectors(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i % 60, rng.standard_normal(6).tolist()) for i in range(300)] + [(i % 60, rng.standard_normal(4).tolist()) for i in range(100)]
+    assert found(spark, rows) == plain(rows)
+
+
+def test_batches_may_cut_a_query(spark):
+    """Entries of one query go on over many Arrow batches."""
+    rng = np.random.default_rng(4)
+    rows = [(i, np.abs(rng.standard_normal(3)).tolist()) for i in range(3_000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert found(spark, rows) == plain(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
