@@ -31,6 +31,7 @@ from bisect import bisect_left
 from collections import Counter
 from math import ceil
 
+import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
@@ -228,12 +229,28 @@ class Template:
         return out
 
 
-def find_licenses(text: str, templates: list[Template]) -> list[tuple[str, int, int, int, int]]:
+def trigger_index(templates: list[Template]) -> ahocorasick.Automaton:
+    """All triggers in one automaton, each with the numbers of its templates."""
+    of: dict[str, list[int]] = {}
+    for k, template in enumerate(templates):
+        for word in template.triggers:
+            of.setdefault(word, []).append(k)
+    index = ahocorasick.Automaton()
+    for word, numbers in of.items():
+        index.add_word(word, tuple(numbers))
+    index.make_automaton()
+    return index
+
+
+def find_licenses(text: str, templates: list[Template], triggers: ahocorasick.Automaton | None = None) -> list[tuple[str, int, int, int, int]]:
     """``(license, start, end, aligned, template words)`` of a text, without passages inside better ones."""
-    low = text.lower()
-    live = [t for t in templates if any(w in low for w in t.triggers)]
-    if not live:
+    if not templates:
+        return []
+    triggers = triggers or trigger_index(templates)
+    hit = {numbers for _, numbers in triggers.iter(text.lower())}
+    if not hit:
         return []
+    live = [templates[k] for k in sorted({k for numbers in hit for k in numbers})]
     words, spans = split_words(text)
     found = [(t.name, spans[a][0], spans[b][1], n, len(t.words)) for t in live for a, b, n in t.passages(words)]
     found.sort(key=lambda x: (-x[3], -x[3] / x[4], x[1], x[0]))
@@ -258,11 +275,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
 
     def make():
         compiled = [Template(n, t, least) for n, t in listed.items() if split_words(t)[0]]
+        triggers = trigger_index(compiled)
 
         def step(batch):
             out: list[tuple] = []
             for name, body in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                out += [(name, *x, body[x[1] : x[2]]) for x in find_licenses(body or "", compiled)]
+                out += [(name, *x, body[x[1] : x[2]]) for x in find_licenses(body or "", compiled, triggers)]
             columns = list(zip(*out)) if out else [[]] * 7
             return dict(zip(("doc_id", "license", "start", "end", "aligned", "template_words", "passage"), columns))
 
