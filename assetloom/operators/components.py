@@ -18,7 +18,8 @@ def connected_components(
     merges away, so rounds grow with the logarithm of the vertices at most.
     Minima are partial aggregates, so a hub's edges never meet in one task.
     Self-loops keep their node as a component of its own; null endpoints are
-    ignored; an empty input gives an empty result.
+    ignored; an empty input gives an empty result. The result is a stored
+    table, the only one that stays.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "components")
@@ -54,13 +55,15 @@ def connected_components(
                 .select("node", F.coalesce("to", "component").alias("component")),
                 "assign",
             )
-            scratch.drop(assign)
         assign, work = new, nxt
-        scratch.drop(up, jump)
+        scratch.clear(live, assign, work)
         if work.isEmpty():
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     loops = live.where("a = b").select(F.col("a").alias("node"))
-    alone = loops.distinct().join(assign, "node", "left_anti").withColumn("component", F.col("node"))
-    return assign.select("node", "component").unionByName(alone)
+    if not loops.isEmpty():
+        alone = loops.distinct().join(assign, "node", "left_anti").withColumn("component", F.col("node"))
+        assign = scratch.save(assign.select("node", "component").unionByName(alone), "components")
+    scratch.clear(assign)
+    return assign

@@ -40,6 +40,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        self.tables: list[str] = []
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.count += 1
@@ -47,11 +48,23 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.tables.append(path)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for frame in frames:
-            path = jvm.org.apache.hadoop.fs.Path(frame._scratch_path)
-            path.getFileSystem(hadoop).delete(path, True)
+        """Removes stored tables, of this or another scratch."""
+        remove(self.spark, *[frame._scratch_path for frame in frames])
+
+    def clear(self, *keep: DataFrame) -> None:
+        """Removes all tables of this scratch but those given."""
+        kept = {frame._scratch_path for frame in keep}
+        remove(self.spark, *[path for path in self.tables if path not in kept])
+        self.tables = [path for path in self.tables if path in kept]
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders, wherever they are stored; what is gone already is no error."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(hadoop).delete(path, True)
