@@ -13,6 +13,7 @@ Groups of any size are handled without all their pairs:
 1. Documents with equal sets form one class; only classes are sketched on.
 2. In each band bucket, all classes are compared with one centre, the class
    that shares most buckets (for copies of one text that is the original).
+   Joins by bucket deal the rows of large buckets to several parts.
 3. Buckets whose classes are by then in one component are finished. In the
    others every pair across components is compared: small buckets by a join,
    large ones in tiles of full sets, in which the rows outside the largest
@@ -30,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from assetloom.llm.arrow import map_chunks, utf8
@@ -50,8 +51,10 @@ SURE_SIZE = 192
 SMALL_BUCKET = 32
 #: Shingles of a tile's rows, and of the rows outside the largest component that meet them.
 TILE_ROWS, TILE_OUTSIDE = 1_000_000, 250_000
-#: Ids up to this number may be broadcast (8 bytes each); more go through a shuffle.
+#: Ids, or keys of hot groups, up to this number may be broadcast (16 bytes each); more go through a shuffle.
 BROADCAST_IDS = 500_000
+#: Rows of a key beyond which a join deals them to several parts; parts of every key where hot keys are too many to broadcast.
+HOT, SALTS = 512, 16
 WORD_CACHE = 100_000
 
 _rng = np.random.default_rng(20)
@@ -240,11 +243,45 @@ def _tile_links(threshold: int):
     return run
 
 
+def split_join(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """Joins each row with its key's only row in ``right``, where ``c`` is the key's number of rows.
+
+    Keys with more than ``HOT`` rows are dealt to parts by the column ``by``,
+    so that none fills a task. ``right`` should be a stored table, since it is
+    read more than once. ``salt`` is the part.
+    """
+    hot = right.where(F.col("c") > HOT).select(F.col(key).alias("_hot"), _parts(F.col("c")).alias("_parts"))
+    n = hot.count()
+    parts, given = F.lit(1), left
+    if n > BROADCAST_IDS:
+        parts = F.lit(SALTS)
+    elif n:
+        given, parts = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left"), F.coalesce("_parts", F.lit(1))
+    given = given.withColumn("salt", F.pmod(F.xxhash64(by), parts).cast("int")).select(*left.columns, "salt")
+    last = (F.lit(SALTS) if n > BROADCAST_IDS else _parts(F.col("c"))) - 1
+    spread = right.withColumn("salt", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    return given.join(spread, [key, "salt"])
+
+
+def _parts(rows: Column) -> Column:
+    return F.when(rows > HOT, F.ceil(rows / HOT)).otherwise(F.lit(1)).cast("int")
+
+
+def _salts() -> list[Column]:
+    """With a bucket's other aggregates: the highest part that its rows are in."""
+    return [F.max("salt").alias("salt")]
+
+
+def _each_salt() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col("salt"))).alias("salt")
+
+
 class _Join:
     """The similarity join over sketched classes; see the module's text."""
 
     def __init__(self, docs: DataFrame, shingle: int, threshold: int):
         self.docs, self.shingle, self.threshold = docs, shingle, threshold
+        self.sets: DataFrame | None = None
         self.scratch = Scratch(docs.sparkSession, "near")
         self.sketched = self.scratch.save(
             map_chunks(docs, _sketch_step(shingle), "doc_id long, n_shingles long, set_key binary, sketch binary"), "sketched"
@@ -256,28 +293,31 @@ class _Join:
         self.classes = self.scratch.save(classes.select(F.monotonically_increasing_id().alias("nid"), "*"), "classes")
 
     def buckets(self) -> DataFrame:
-        """``key, nid, c`` of the band buckets that hold two classes or more."""
+        """``key, salt, nid, c`` of the band buckets that hold two classes or more; ``salt`` splits the large ones."""
         rows = map_chunks(self.classes.select("nid", "sketch"), _band_step, "key long, nid long")
         counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        return self.scratch.save(rows.join(counts, "key"), "buckets")
+        counts = self.scratch.save(counts, "counts")
+        live = self.scratch.save(split_join(rows, counts, "key", "nid"), "buckets")
+        self.scratch.drop(counts)
+        return live
 
     def star_pairs(self, live: DataFrame) -> DataFrame:
         """Each class with the most widely shared class of each of its buckets."""
         shared = live.groupBy("nid").agg(F.sum("c").alias("pop"))
         centre = F.max(F.struct("pop", (-F.col("nid")).alias("neg"))).alias("top")
-        centres = live.join(shared, "nid").groupBy("key").agg(centre).select("key", (-F.col("top.neg")).alias("centre"))
-        return live.join(centres, "key").where("nid <> centre").select(
+        centres = live.join(shared, "nid").groupBy("key").agg(centre, *_salts()).select("key", _each_salt(), (-F.col("top.neg")).alias("centre"))
+        return live.join(centres, ["key", "salt"]).where("nid <> centre").select(
             F.least("nid", "centre").alias("a"), F.greatest("nid", "centre").alias("b")
         )
 
     def open_rows(self, live: DataFrame, comps: DataFrame) -> DataFrame:
         """Rows of the buckets that still touch several components."""
         named = live.join(comps, live["nid"] == comps["node"], "left").select(
-            "key", "nid", "c", F.coalesce("component", "nid").alias("comp")
+            "key", "salt", "nid", "c", F.coalesce("component", "nid").alias("comp")
         )
         named = self.scratch.save(named, "named")
-        several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        rows = self.scratch.save(named.join(several, "key"), "open")
+        several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *_salts()).where("lo <> hi")
+        rows = self.scratch.save(named.join(several.select("key", _each_salt()), ["key", "salt"]), "open")
         self.scratch.drop(named)
         return rows
 
@@ -296,15 +336,17 @@ class _Join:
         bounded number of shingles.
         """
         rows = rows.where(F.col("c") > SMALL_BUCKET)
-        per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-        main = per.groupBy("key").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"))
-        members = rows.join(main, "key").select("main", "nid", "comp").distinct()
+        per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), *_salts())
+        main = per.groupBy("key").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"), *_salts()).select("key", _each_salt(), "main")
+        members = rows.join(main, ["key", "salt"]).select("main", "nid", "comp").distinct()
         members = self.scratch.save(members.join(self.classes.select("nid", "n"), "nid"), "members")
         tiles = members.groupBy("main").agg(
             F.ceil(F.sum(F.when(F.col("comp") != F.col("main"), F.col("n")).otherwise(0)) / TILE_OUTSIDE).cast("int").alias("ot"),
-            F.ceil(F.sum("n") / TILE_ROWS).cast("int").alias("rt"),
+            F.ceil(F.sum("n") / TILE_ROWS).cast("int").alias("rt"), F.count(F.lit(1)).alias("c"),
         )
-        wide = members.join(tiles, "main").join(self.sets_of(members.select("nid").distinct(), "large"), "nid")
+        tiles = self.scratch.save(tiles, "tiles")
+        sized = split_join(members, tiles, "main", "nid").drop("salt", "c")
+        wide = sized.join(self.sets_of(members.select("nid").distinct(), "large"), "nid")
         spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         part = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "nid"), F.col(n)).cast("int")
         row = wide.select("main", "nid", "comp", "shingles", F.lit(False).alias("other"), spread("ot").alias("o"), part(1, "rt").alias("r"))
@@ -314,17 +356,24 @@ class _Join:
         return row.unionByName(outside).groupBy("main", "o", "r").applyInArrow(_tile_links(self.threshold), "a long, b long")
 
     def sets_of(self, nodes: DataFrame, name: str) -> DataFrame:
-        """``nid, shingles`` of the given classes, from the text of their representatives."""
-        ends = self.scratch.save(nodes.join(self.classes.select("nid", "rep", "set_key"), "nid"), f"{name}-ends")
-        ids = ends.select("rep").distinct()
-        if ends.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        texts = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["rep"]), "left_semi")
-        sets = map_chunks(texts, _set_step(self.shingle), "set_key binary, shingles array<long>")
-        sets = ends.join(sets.dropDuplicates(["set_key"]), "set_key").select("nid", "shingles")
-        sets = self.scratch.save(sets, f"{name}-sets")
+        """``nid, shingles`` of the given classes, from the text of their representatives; a class is read once for all phases."""
+        nodes = self.scratch.save(nodes, f"{name}-nodes")
+        few = nodes.count() <= BROADCAST_IDS
+        near = F.broadcast(nodes) if few else nodes
+        new = nodes if self.sets is None else nodes.join(self.sets.select("nid"), "nid", "left_anti")
+        ends = self.scratch.save(new.join(self.classes.select("nid", "rep", "set_key"), "nid"), f"{name}-ends")
+        if not ends.isEmpty():
+            ids = ends.select("rep").distinct()
+            ids = F.broadcast(ids) if few else ids
+            texts = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["rep"]), "left_semi")
+            found = map_chunks(texts, _set_step(self.shingle), "set_key binary, shingles array<long>")
+            found = ends.join(found.dropDuplicates(["set_key"]), "set_key").select("nid", "shingles")
+            found = self.scratch.save(found, f"{name}-sets")
+            self.sets = found if self.sets is None else self.sets.unionByName(found)
         self.scratch.drop(ends)
-        return sets
+        if self.sets is None:
+            return nodes.select("nid", F.lit(None).cast("array<long>").alias("shingles"))
+        return self.sets.join(near, "nid", "left_semi")
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs that sizes and sketches do not rule out."""
@@ -341,7 +390,7 @@ class _Join:
         )
         common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("t"))
         out = self.scratch.save(common.where(100 * F.col("i") >= self.threshold * (F.col("t") - F.col("i"))).select("a", "b"), name)
-        self.scratch.drop(pairs, sets)
+        self.scratch.drop(pairs)
         return out
 
     def links(self) -> DataFrame:
@@ -349,7 +398,7 @@ class _Join:
         first = self.linked(self.likely(self.star_pairs(live)), "star")
         comps = connected_components(first, "a", "b")
         rows = self.open_rows(live, comps)
-        self.scratch.drop(live)
+        self.scratch.drop(live, comps)
         links = first.unionByName(self.linked(self.likely(self.small_pairs(rows)), "rest"))
         if not rows.where(F.col("c") > SMALL_BUCKET).isEmpty():
             links = links.unionByName(self.scratch.save(self.large_links(rows), "large"))
@@ -357,13 +406,18 @@ class _Join:
         return links
 
     def result(self) -> DataFrame:
-        comps = self.scratch.save(connected_components(self.links(), "a", "b"), "comps")
-        named = self.classes.select("nid", "set_key", "rep").join(comps, F.col("nid") == F.col("node"), "left").select(
-            "set_key", "rep", F.coalesce("component", "nid").alias("component")
-        )
-        least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-        self.by_class = self.scratch.save(named.join(least, "component").select("set_key", "component", "component_id"), "by-class")
-        self.scratch.drop(self.classes, comps)
+        comps = connected_components(self.links(), "a", "b")
+        linked = self.classes.select("nid", "set_key", "rep").join(comps, F.col("nid") == F.col("node")).select("nid", "set_key", "rep", "component")
+        linked = self.scratch.save(linked, "linked")
+        least = self.scratch.save(linked.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("c")), "least")
+        names = ["set_key", "component", "component_id"]
+        alone = self.classes.join(comps, F.col("nid") == F.col("node"), "left_anti")
+        alone = alone.select("set_key", F.col("nid").alias("component"), F.col("rep").alias("component_id"))
+        by_class = split_join(linked, least, "component", "nid").select(*names).unionByName(alone)
+        by_class = Scratch(self.docs.sparkSession, "near-classes").save(by_class, "by-class")
+        self.by_class = by_class
+        self.scratch.clear(self.sketched)
+        self.scratch.drop(comps)
         out = self.sketched.select("doc_id", "n_shingles", "set_key").join(self.by_class, "set_key", "left")
         component = F.coalesce("component_id", "doc_id")
         return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -67,6 +67,41 @@ def test_families(spark, monkeypatch, shingle, small):
     assert got(frame, shingle=shingle) == plain(rows, shingle)
 
 
+@pytest.mark.parametrize("ids", [500_000, 0])
+def test_split_buckets(spark, monkeypatch, ids):
+    """Buckets beyond a few rows are dealt to parts, by a broadcast of their keys or all alike, without any change of the result."""
+    monkeypatch.setattr(near_dedup, "HOT", 4)
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 6)
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", ids)
+    rng = random.Random(8)
+    rows = list(enumerate(family(rng, 60, 80, 8) + family(rng, 30, 30, 3) + family(rng, 20, 6, 3)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(frame, shingle=2) == plain(rows, 2)
+
+
+def test_split_join(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT", 5)
+    left = spark.createDataFrame([(1, i) for i in range(40)] + [(2, i) for i in range(3)] + [(3, 1)], "key long, nid long")
+    right = spark.createDataFrame([(1, 40, "a"), (2, 3, "b")], "key long, c long, x string")
+    out = near_dedup.split_join(left, right, "key", "nid").collect()
+    assert sorted((r["key"], r["nid"], r["x"]) for r in out) == [(1, i, "a") for i in range(40)] + [(2, i, "b") for i in range(3)]
+    assert {r["salt"] for r in out if r["key"] == 1} == set(range(8)) and {r["salt"] for r in out if r["key"] == 2} == {0}
+
+
+def test_only_tables_of_the_result_stay(spark, monkeypatch):
+    from assetloom import storage
+
+    made = []
+    init = storage.Scratch.__init__
+    monkeypatch.setattr(storage.Scratch, "__init__", lambda self, *a: (init(self, *a), made.append(self))[0])
+    rows = list(enumerate(family(random.Random(2), 20, 60, 6)))
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2)
+    import os
+
+    stored = [name for x in made if os.path.isdir(x.base) for name in os.listdir(x.base)]
+    assert sorted(n[4:] for n in stored) == ["by-class", "sketched"] and out.count() == 20
+
+
 def test_shuffled_ids_path(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
     rng = random.Random(3)
