@@ -3,7 +3,23 @@
 Each stage takes the session, the documents that the stage before kept, and
 the folder of the input tables. It returns a DataFrame, which is written as
 Parquet and reread for the next stage. All but the last keep the columns of
-``documents``.
+``documents``, and further columns if there are any, whatever their names.
+
+Rows, stage by stage:
+
+- toxicity: null and empty texts score as texts without evidence and stay, as
+  do null ids and repeated rows;
+- near duplicates: of linked rows one of the smallest id stays; rows without
+  words are linked with nothing, one stays for each id, and all without an id;
+- secrets: all rows stay, null texts as null;
+- mixing: documents without words go; a null source is a source of its own;
+  rows may come twice, and one for each source is cut; of rows that tie at the
+  cut as many are taken as its budget holds;
+- packing: null text is empty and has the end id alone; repeated rows are
+  packed one by one; other columns are dropped.
+
+Very long texts are whole in every stage, and an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
