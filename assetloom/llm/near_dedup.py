@@ -50,7 +50,7 @@ SLACK = 0.18
 SURE_SIZE = 192
 SMALL_BUCKET = 32
 #: Shingles of a tile's rows, and of the rows outside the largest component that meet them.
-TILE_ROWS, TILE_OUTSIDE = 1_000_000, 250_000
+TILE_ROWS, TILE_OUTSIDE = 250_000, 250_000
 #: Ids, or keys of hot groups, up to this number may be broadcast (16 bytes each); more go through a shuffle.
 BROADCAST_IDS = 500_000
 #: Rows of a key beyond which a join deals them to several parts; parts of every key where hot keys are too many to broadcast.
