@@ -45,6 +45,11 @@ def sensitivity_threshold(sensitivity: int) -> float:
     return sensitivity * SENSITIVITY_STEP
 
 
+def sensitivity_distance(sensitivity: Column) -> Column:
+    """The same for a column; null beyond 1 to 10."""
+    return F.when(sensitivity.between(1, 10), sensitivity * F.lit(SENSITIVITY_STEP))
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     """Squared L2 distance of two float vectors, in single precision."""
     parts = F.zip_with(a, b, lambda x, y: ((x - y) * (x - y)).cast("float"))

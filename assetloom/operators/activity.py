@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from assetloom.operators.ordered import RANGE_ROWS, running_sums
+from assetloom.storage import Scratch
 
 
 def totals(log: DataFrame) -> DataFrame:
@@ -12,17 +15,8 @@ def totals(log: DataFrame) -> DataFrame:
     )
 
 
-def with_running_total(log: DataFrame, range_rows: int = 100_000) -> DataFrame:
-    """The log with the bytes freed so far, newest first.
-
-    Ranges of the sequence number are summed first; their offsets and a window
-    inside each range make the running total, so no task holds the whole log.
-    """
-    bucket = F.floor(F.col("seq") / range_rows)
-    rows = log.withColumn("_range", bucket)
-    sums = rows.groupBy("_range").agg(F.sum("bytes_freed").alias("s"))
-    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col("_range").alias("_of"), F.coalesce(F.sum("s").over(upto), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_range").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.withColumn("_in", F.sum("bytes_freed").over(inside)).join(offsets, F.col("_range") == F.col("_of"))
-    return out.withColumn("total_bytes", (F.col("_in") + F.col("_before")).cast("bigint")).drop("_range", "_of", "_before", "_in").orderBy(F.desc("seq"))
+def with_running_total(log: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The log with the bytes freed so far, newest first; ranges of equal size, whatever the numbers, share the work."""
+    scratch = Scratch(log.sparkSession, "activity")
+    out = running_sums(log, scratch, [F.col("seq")], range_rows, total_bytes=F.col("bytes_freed"))
+    return out.withColumn("total_bytes", F.col("total_bytes").cast("bigint")).orderBy(F.desc("seq"))

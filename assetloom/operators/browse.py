@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from assetloom.functions.scalars import start_of_day
 
@@ -24,6 +24,11 @@ def day_rows(assets: DataFrame, date: str = "creation_date") -> DataFrame:
     return assets.where(F.col(date).isNotNull()).select(start_of_day(F.col(date)).alias("day"), date, "asset_id")
 
 
+def day_counts(assets: DataFrame, date: str = "creation_date") -> DataFrame:
+    """``day, n``, the newest day first."""
+    return day_rows(assets, date).groupBy("day").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("day"))
+
+
 def album_summaries(albums: DataFrame, album_assets: DataFrame, assets: DataFrame) -> DataFrame:
     """``album_id, title, n, cover_id`` of the albums with images, by title.
 
@@ -32,7 +37,9 @@ def album_summaries(albums: DataFrame, album_assets: DataFrame, assets: DataFram
     """
     images = assets.where("media_type = 'image'").select("asset_id", "creation_date")
     members = album_assets.join(images, "asset_id")
-    newest = F.max(F.struct(F.col("creation_date").alias("at"), (-F.col("asset_id")).alias("neg")))
-    per_album = members.groupBy("album_id").agg(F.count(F.lit(1)).alias("n"), (-newest["neg"]).alias("cover_id"))
-    out = albums.join(per_album, "album_id").orderBy(F.col("title").asc_nulls_first(), "album_id")
+    newest = Window.partitionBy("album_id").orderBy(F.col("creation_date").desc_nulls_last(), "asset_id")
+    # the rank is cut to one before and after the shuffle, so no task sorts a whole album
+    covers = members.withColumn("place", F.row_number().over(newest)).where("place = 1").select("album_id", F.col("asset_id").alias("cover_id"))
+    counts = members.groupBy("album_id").agg(F.count(F.lit(1)).alias("n"))
+    out = albums.join(counts, "album_id").join(covers, "album_id").orderBy(F.col("title").asc_nulls_first(), "album_id")
     return out.select("album_id", F.coalesce("title", F.lit("Untitled")).alias("title"), "n", "cover_id")

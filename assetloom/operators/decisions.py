@@ -6,7 +6,12 @@ aggregation that keeps one value per asset and combines before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from assetloom.operators.ordered import RANGE_ROWS, with_previous
+from assetloom.storage import Scratch
 
 OPS = ("keep", "mark", "spare", "clear", "forget", "reset")
 
@@ -45,28 +50,39 @@ def toggled(state: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
-def undo_validity(log: DataFrame, deck: str, arms: tuple[str, ...] = ("keep", "mark"), ignored: tuple[str, ...] = ("spare",)) -> DataFrame:
+def undo_validity(log: DataFrame, deck: str, arms: tuple[str, ...] = ("keep", "mark"), ignored: tuple[str, ...] = ("spare",), range_rows: int = RANGE_ROWS) -> DataFrame:
     """Every undo (``clear``) of a deck, and whether a swipe had armed it.
 
     One step: an undo works right after a swipe. Another undo, a reload or a
-    confirmed delete disarm it; edits in the review sheet do not matter.
+    confirmed delete disarm it; edits in the review sheet do not matter. The
+    log is cut into ranges, so that a deck's whole log need not fit a task.
     """
     relevant = log.where(~F.col("op").isin(*ignored))
-    before = F.lag("op").over(Window.partitionBy(deck).orderBy("seq"))
-    return relevant.withColumn("before", before).where("op = 'clear'").select(
-        "seq", deck, F.coalesce(F.col("before").isin(*arms), F.lit(False)).alias("valid")
-    )
+    out = with_previous(relevant, Scratch(log.sparkSession, "undo"), [deck, "seq"], [deck, "op"], "before", range_rows)
+    valid = F.col(f"before.{deck}").eqNullSafe(F.col(deck)) & F.col("before.op").isin(*arms)
+    return out.where("op = 'clear'").select("seq", deck, F.coalesce(valid, F.lit(False)).alias("valid"))
+
+
+class Deletion(NamedTuple):
+    """The assets that stay, the log's row, and the decisions that clear the marks of what is gone."""
+
+    survivors: DataFrame
+    record: DataFrame
+    forgotten: DataFrame
 
 
-def confirm_delete(assets: DataFrame, resources: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A confirmed delete: the assets that stay, and one row for the log.
+def confirm_delete(assets: DataFrame, resources: DataFrame, marked: DataFrame) -> Deletion:
+    """A confirmed delete.
 
     The log's row has the number of marks, also of assets that were gone, and
-    the bytes of those there. There is none if no mark resolves.
+    the bytes of those there; all marks are forgotten then. If no mark
+    resolves, the delete fails: all assets stay, and there is neither a row
+    nor a decision.
     """
     ids = marked.select("asset_id").distinct()
     live = ids.join(assets.select("asset_id"), "asset_id", "left_semi")
     freed = resources.join(live, "asset_id", "left_semi").agg(F.coalesce(F.sum("file_size"), F.lit(0)).cast("bigint")).scalar()
     found = live.agg(F.count(F.lit(1))).scalar()
     record = ids.agg(F.count(F.lit(1)).alias("count")).where(found > 0).select("count", freed.alias("bytes_freed"))
-    return assets.join(ids, "asset_id", "left_anti"), record
+    forgotten = ids.where(found > 0).select("asset_id", F.lit("forget").alias("op"))
+    return Deletion(assets.join(ids, "asset_id", "left_anti"), record, forgotten)

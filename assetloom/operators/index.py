@@ -33,5 +33,10 @@ def has_index(index: DataFrame) -> bool:
     return not index.isEmpty()
 
 
+def exists(index: DataFrame) -> DataFrame:
+    """One row: whether the index has any."""
+    return index.limit(1).agg((F.count(F.lit(1)) > 0).alias("has_index"))
+
+
 def row_count(index: DataFrame) -> DataFrame:
     return index.agg(F.count(F.lit(1)).alias("n"))

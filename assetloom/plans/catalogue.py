@@ -35,16 +35,21 @@ def _sizes(spark, d):
     return sizes.asset_sizes(carriers.assets(spark, d), carriers.resources(spark, d))
 
 
+def _sizes_of(spark, d, condition):
+    return sizes.asset_sizes(carriers.assets(spark, d).where(condition), carriers.resources(spark, d))
+
+
 def _cache(spark, d):
-    return _sizes(spark, d).where("asset_id % 2 = 0")
+    """The sizes of the images are known already."""
+    return _sizes_of(spark, d, "media_type = 'image'")
 
 
 def _documents(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("asset_id"), "n_chars")
+    return spark.read.parquet(f"{d}/documents.parquet").select(carriers.asset_id("doc_id"), "n_chars")
 
 
 def _labelled(spark, d):
-    return spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("asset_id"), "quality")
+    return spark.read.parquet(f"{d}/labels.parquet").select(carriers.asset_id("doc_id"), "quality")
 
 
 @query
@@ -108,14 +113,52 @@ def size_cache_misses(spark, d):
 
 @query
 def size_cache_merge(spark, d):
-    new = _sizes(spark, d).where("asset_id % 3 = 0").withColumn("bytes", F.col("bytes") + 1)
+    """All assets: new sizes of the misses, and of assets whose known sizes have changed since."""
+    new = _sizes_of(spark, d, "media_type <> 'image' OR creation_date >= '1997-01-01'").withColumn("bytes", F.col("bytes") + 1)
     return sizes.merge_cache(_cache(spark, d), new)
 
 
+@query
+def size_cache_store(spark, d):
+    """The cache written to its store and read back."""
+    scratch = Scratch(spark, "store")
+    cache = _sizes(spark, d).select(F.col("asset_id").cast("string").alias("asset_id"), "bytes")
+    readers.write_snapshot(cache, f"{scratch.base}/size_cache")
+    return readers.read_table(spark, f"{scratch.base}/size_cache", "size_cache")
+
+
+@query
+def stored_text(spark, d):
+    """Lists and maps in their stored form, and the list decoded again."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    ids = F.array(F.col("event_id").cast("string"), F.col("event_type"))
+    made = F.create_map(F.col("event_type"), F.col("event_id"))
+    return events.select(
+        "event_id", readers.encode(ids).alias("ids"), readers.encode(made).alias("sizes"),
+        F.array_join(readers.decode_ids(readers.encode(ids)), "/").alias("decoded"), F.size(readers.decode_ids(F.lit("[1,"))).alias("corrupt"),
+        readers.stored_date(F.col("event_id").cast("double")).cast("timestamp_ntz").alias("at"),
+    )
+
+
+def _events_as_assets(spark, d):
+    """Errors have no date."""
+    date = F.when(F.col("event_type") != "error", F.col("ts")).alias("creation_date")
+    return spark.read.parquet(f"{d}/events.parquet").select(carriers.asset_id("event_id"), date)
+
+
 @query
 def day_sections(spark, d):
-    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("asset_id"), F.col("ts").alias("creation_date"))
-    return browse.day_sections(events)
+    return browse.day_sections(_events_as_assets(spark, d))
+
+
+@query
+def day_rows(spark, d):
+    return browse.day_rows(_events_as_assets(spark, d)).select("day", "asset_id")
+
+
+@query
+def day_counts(spark, d):
+    return browse.day_counts(_events_as_assets(spark, d))
 
 
 @query
@@ -133,11 +176,39 @@ def review_state_stream(spark, d):
     """The same state by micro-batches of the log."""
     scratch = Scratch(spark, "fold")
     source = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parque[t]")
-    log = source.select(F.col("event_id").alias("seq"), F.col("user_id").alias("asset_id"), carriers._mapped("event_type", carriers.OPS).alias("op"))
+    log = source.select(F.col("event_id").alias("seq"), carriers.asset_id("user_id"), carriers._mapped("event_type", carriers.OPS).alias("op"))
     refresh.stream_decisions(log, f"{scratch.base}/state", f"{scratch.base}/progress").awaitTermination()
     return refresh.state_of(refresh.latest(spark, f"{scratch.base}/state"))
 
 
+@query
+def review_state_batches(spark, d):
+    """The same state from a log that arrives in four files, one a batch: none is dropped."""
+    scratch = Scratch(spark, "batches")
+    log = carriers.decision_log(spark, d)
+    log.repartitionByRange(4, "seq").write.parquet(f"{scratch.base}/log")
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{scratch.base}/log")
+    refresh.stream_decisions(source, f"{scratch.base}/state", f"{scratch.base}/progress").awaitTermination()
+    return refresh.state_of(refresh.latest(spark, f"{scratch.base}/state"))
+
+
+@query
+def stream_progress(spark, d):
+    """Batches and rows that a stream of four files reports as processed."""
+    scratch = Scratch(spark, "reported")
+    log = carriers.decision_log(spark, d)
+    log.repartitionByRange(4, "seq").write.parquet(f"{scratch.base}/log")
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch.base}/log")
+    stream = refresh.stream_decisions(source, f"{scratch.base}/state", f"{scratch.base}/progress")
+    stream.awaitTermination()
+    return spark.createDataFrame([refresh.processed(stream)], "batches long, rows long")
+
+
+@query
+def review_state_after_reset(spark, d):
+    return decisions.review_state(carriers.decision_log_with_resets(spark, d))
+
+
 @query
 def review_counts(spark, d):
     return decisions.review_counts(_state(spark, d))
@@ -145,7 +216,7 @@ def review_counts(spark, d):
 
 @query
 def toggle_ops(spark, d):
-    return decisions.toggled(_state(spark, d), carriers.assets(spark, d).where("asset_id < 200"))
+    return decisions.toggled(_state(spark, d), carriers.assets(spark, d))
 
 
 @query
@@ -154,14 +225,45 @@ def undo_validity(spark, d):
     return decisions.undo_validity(log, "deck")
 
 
+def _deletion(spark, d):
+    return decisions.confirm_delete(carriers.assets(spark, d), carriers.resources(spark, d), _state(spark, d).where("marked"))
+
+
 @query
 def confirm_delete_survivors(spark, d):
-    return decisions.confirm_delete(carriers.assets(spark, d), carriers.resources(spark, d), _state(spark, d).where("marked"))[0].select("asset_id")
+    return _deletion(spark, d).survivors.select("asset_id")
 
 
 @query
 def confirm_delete_record(spark, d):
-    return decisions.confirm_delete(carriers.assets(spark, d), carriers.resources(spark, d), _state(spark, d).where("marked"))[1]
+    return _deletion(spark, d).record
+
+
+@query
+def confirm_delete_state(spark, d):
+    """The review state once the delete's decisions are in the log: nothing is marked."""
+    log = carriers.decision_log(spark, d)
+    after = log.agg(F.max("seq")).scalar() + 1
+    forgotten = _deletion(spark, d).forgotten.select(after.alias("seq"), "asset_id", "op")
+    return decisions.review_state(log.unionByName(forgotten))
+
+
+def _albums_as_marks(spark, d):
+    """Marks of which some are of assets that are gone."""
+    return carriers.album_assets(spark, d).select(F.col("album_id").alias("asset_id")).distinct()
+
+
+@query
+def confirm_delete_some_gone(spark, d):
+    return decisions.confirm_delete(carriers.assets(spark, d), carriers.resources(spark, d), _albums_as_marks(spark, d)).record
+
+
+@query
+def confirm_delete_all_gone(spark, d):
+    """No mark resolves: the delete fails, and all assets stay without a row in the log or a decision."""
+    done = decisions.confirm_delete(carriers.assets(spark, d).join(_albums_as_marks(spark, d), "asset_id", "left_anti"), carriers.resources(spark, d), _albums_as_marks(spark, d))
+    count = lambda frame, name: frame.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n")
+    return count(done.survivors, "assets").unionByName(count(done.record, "records")).unionByName(count(done.forgotten, "decisions"))
 
 
 @query
@@ -179,23 +281,51 @@ def burst_edges(spark, d):
     return duplicates.burst_edges(carriers.feature_index(spark, d), carriers.bursts(spark, d))
 
 
-def _all_groups(spark, d):
+@query
+def duplicate_groups_all(spark, d):
     return duplicates.duplicate_groups(carriers.feature_index(spark, d), THRESHOLD, carriers.bursts(spark, d))
 
 
-@query
-def duplicate_groups_all(spark, d):
-    return _all_groups(spark, d)
+def _members(spark, d):
+    index = carriers.feature_index(spark, d)
+    return duplicates.members(index, duplicates.all_edges(index, THRESHOLD, carriers.bursts(spark, d)))
 
 
 @query
 def group_previews(spark, d):
-    return duplicates.group_previews(_all_groups(spark, d))
+    return duplicates.group_previews(_members(spark, d))
 
 
 @query
 def group_members(spark, d):
-    return duplicates.group_members(_all_groups(spark, d))
+    return duplicates.group_members(_members(spark, d))
+
+
+@query
+def group_sizes(spark, d):
+    return duplicates.group_sizes(_members(spark, d))
+
+
+@query
+def sensitivity_distance(spark, d):
+    """The distance of every step of the slider, and beyond its ends."""
+    return spark.range(12).select(F.col("id").alias("sensitivity"), scalars.sensitivity_distance(F.col("id")).alias("distance"))
+
+
+@query
+def squared_distance(spark, d):
+    """Between each vector and the next one."""
+    index = carriers.feature_index(spark, d).select(F.col("age"), "embedding")
+    following = index.select((F.col("age") - 1).alias("age"), F.col("embedding").alias("following"))
+    return index.join(following, "age").select("age", scalars.squared_distance(F.col("embedding"), F.col("following")).alias("distance"))
+
+
+@query
+def vector_decode(spark, d):
+    """Vectors as they are read; those of label 0 are missing, and so empty."""
+    index = carriers.feature_index(spark, d).withColumn("print", F.when(F.col("quality") != 0, F.col("embedding")))
+    decoded = readers.vectors("print")
+    return index.select("age", F.size(decoded).alias("n"), F.get(decoded, F.lit(0)).alias("first"))
 
 
 @query
@@ -220,6 +350,35 @@ def index_refresh(spark, d):
     return index.refresh(_labelled(spark, d), new, library.where(F.col("n_chars") >= LIBRARY_CHARS))
 
 
+@query
+def index_upsert(spark, d):
+    """A row of every document put into the index: those that are there are replaced."""
+    new = _documents(spark, d).select("asset_id", (-F.col("n_chars")).cast("int").alias("quality"))
+    return index.upsert(_labelled(spark, d).withColumn("quality", F.col("quality").cast("int")), new)
+
+
+@query
+def index_stream(spark, d):
+    """The index as a stream of rows makes it, purged by the library."""
+    scratch = Scratch(spark, "index")
+    source = spark.readStream.schema(spark.read.parquet(f"{d}/labels.parquet").schema).parquet(f"{d}/labels.parque[t]")
+    rows = source.select(carriers.asset_id("doc_id"), "quality")
+    library = lambda: _documents(spark, d).where(F.col("n_chars") >= LIBRARY_CHARS)
+    refresh.stream_index(rows, library, f"{scratch.base}/index", f"{scratch.base}/progress").awaitTermination()
+    return refresh.latest(spark, f"{scratch.base}/index")
+
+
+@query
+def index_exists(spark, d):
+    return index.exists(_labelled(spark, d))
+
+
+@query
+def index_exists_empty(spark, d):
+    """Of an index that a library without assets has emptied."""
+    return index.exists(index.purge(_labelled(spark, d), _documents(spark, d).where(F.col("n_chars") < 0)))
+
+
 @query
 def index_row_count(spark, d):
     return index.row_count(_labelled(spark, d))

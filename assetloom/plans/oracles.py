@@ -49,31 +49,58 @@ ORACLES = {
     "asset_sizes": f"WITH {SIZES} SELECT asset_id, bytes FROM sizes",
     "total_size_marked": f"""WITH {STATE} SELECT CAST(coalesce(sum(CAST(l_quantity AS BIGINT)), 0) AS BIGINT) AS bytes FROM lineitem
         WHERE l_orderkey IN (SELECT asset_id FROM state WHERE marked)""",
-    "size_cache_misses": f"WITH {ASSETS} SELECT asset_id FROM assets WHERE asset_id % 2 <> 0",
-    "size_cache_merge": f"WITH {SIZES} SELECT asset_id, CASE WHEN asset_id % 3 = 0 THEN bytes + 1 ELSE bytes END AS bytes FROM sizes WHERE asset_id % 2 = 0 OR asset_id % 3 = 0",
+    "size_cache_misses": f"WITH {ASSETS} SELECT asset_id FROM assets WHERE media_type <> 'image'",
+    "size_cache_merge": f"""WITH {SIZES} SELECT asset_id, CASE WHEN media_type <> 'image' OR creation_date >= TIMESTAMP '1997-01-01' THEN bytes + 1 ELSE bytes END AS bytes
+        FROM sizes JOIN assets USING (asset_id)""",
+    "size_cache_store": f"WITH {SIZES} SELECT CAST(asset_id AS VARCHAR) AS asset_id, bytes FROM sizes",
+    "stored_text": """SELECT event_id, '["' || event_id || '","' || event_type || '"]' AS ids, '{"' || event_type || '":' || event_id || '}' AS sizes,
+        event_id || '/' || event_type AS decoded, CAST(0 AS INTEGER) AS corrupt, TIMESTAMP '2001-01-01' + to_seconds(event_id) AS at FROM events""",
     "day_sections": """SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, list(event_id ORDER BY ts DESC, event_id) AS asset_ids, CAST(count(*) AS INTEGER) AS n
-        FROM events WHERE ts IS NOT NULL GROUP BY 1 ORDER BY 1 DESC""",
+        FROM events WHERE ts IS NOT NULL AND event_type <> 'error' GROUP BY 1 ORDER BY 1 DESC""",
+    "day_rows": "SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, event_id AS asset_id FROM events WHERE ts IS NOT NULL AND event_type <> 'error'",
+    "day_counts": "SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, count(*) AS n FROM events WHERE ts IS NOT NULL AND event_type <> 'error' GROUP BY 1 ORDER BY 1 DESC",
     "album_summaries": f"""WITH {ASSETS}, ranked AS (
           SELECT o_custkey AS album_id, asset_id, row_number() OVER (PARTITION BY o_custkey ORDER BY creation_date DESC NULLS LAST, asset_id) AS rn,
                  count(*) OVER (PARTITION BY o_custkey) AS n FROM assets JOIN orders ON o_orderkey = asset_id WHERE media_type = 'image')
         SELECT album_id, coalesce(c_name, 'Untitled') AS title, n, asset_id AS cover_id FROM ranked JOIN customer ON c_custkey = album_id WHERE rn = 1""",
     "review_state": f"WITH {STATE} SELECT * FROM state",
     "review_state_stream": f"WITH {STATE} SELECT * FROM state",
+    "review_state_batches": f"WITH {STATE} SELECT * FROM state",
+    "stream_progress": "SELECT CAST(4 AS BIGINT) AS batches, count(*) AS rows FROM events",
+    "review_state_after_reset": f"""WITH first AS (SELECT min(value) AS v FROM events WHERE event_type = 'error'),
+        since AS (SELECT max(event_id) AS seq FROM events, first WHERE event_type = 'error' AND value = v), all_events AS (SELECT * FROM events),
+        {STATE.replace("FROM events", "FROM all_events, since WHERE event_id > since.seq")} SELECT * FROM state""",
     "review_counts": f"WITH {STATE} SELECT count(*) FILTER (reviewed) AS reviewed, count(*) FILTER (marked) AS marked FROM state",
     "toggle_ops": f"""WITH {ASSETS}, {STATE} SELECT asset_id, CASE WHEN coalesce(marked, false) THEN 'spare' ELSE 'mark' END AS op
-        FROM assets LEFT JOIN state USING (asset_id) WHERE asset_id < 200""",
+        FROM assets LEFT JOIN state USING (asset_id)""",
     "undo_validity": f"""WITH {LOG}, b AS (SELECT seq, asset_id AS deck, op, lag(op) OVER (PARTITION BY asset_id ORDER BY seq) AS before FROM log WHERE op <> 'spare')
         SELECT seq, deck, coalesce(before IN ('keep', 'mark'), false) AS valid FROM b WHERE op = 'clear'""",
     "confirm_delete_survivors": f"WITH {ASSETS}, {STATE} SELECT asset_id FROM assets WHERE asset_id NOT IN (SELECT asset_id FROM state WHERE marked)",
     "confirm_delete_record": f"""WITH {ASSETS}, {STATE}, ids AS (SELECT asset_id FROM state WHERE marked), live AS (SELECT asset_id FROM ids WHERE asset_id IN (SELECT asset_id FROM assets))
         SELECT (SELECT count(*) FROM ids) AS count, (SELECT CAST(coalesce(sum(CAST(l_quantity AS BIGINT)), 0) AS BIGINT) FROM lineitem WHERE l_orderkey IN (SELECT asset_id FROM live)) AS bytes_freed
         WHERE (SELECT count(*) FROM live) > 0""",
+    "confirm_delete_state": f"WITH {STATE} SELECT asset_id, reviewed AND NOT marked AS reviewed, false AS marked FROM state",
+    "confirm_delete_some_gone": """WITH ids AS (SELECT DISTINCT o_custkey AS id FROM orders), live AS (SELECT id FROM ids WHERE id IN (SELECT o_orderkey FROM orders))
+        SELECT (SELECT count(*) FROM ids) AS count, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)), 0) AS BIGINT) AS bytes_freed FROM lineitem WHERE l_orderkey IN (SELECT id FROM live)""",
+    "confirm_delete_all_gone": """SELECT 'assets' AS what, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT o_custkey FROM orders)
+        UNION ALL SELECT 'records', 0 UNION ALL SELECT 'decisions', 0""",
     "similar_pairs": f"WITH {PAIRS} SELECT a, b FROM pairs",
     "near_duplicate_groups": f"WITH RECURSIVE {PAIRS}, edges AS (SELECT * FROM pairs), {GROUPS} SELECT keeper_id AS group_id, asset_ids, keeper_id, n FROM grouped",
     "burst_edges": f"WITH {BURSTS} SELECT a, b FROM bursts",
     "duplicate_groups_all": f"{ALL_GROUPS} SELECT keeper_id AS group_id, asset_ids, keeper_id, n FROM grouped",
     "group_previews": f"{ALL_GROUPS} SELECT keeper_id AS group_id, list_concat([keeper_id], list_filter(asset_ids, lambda x: x <> keeper_id))[1:8] AS preview FROM grouped",
     "group_members": f"{ALL_GROUPS}, m AS (SELECT keeper_id, unnest(asset_ids) AS asset_id FROM grouped) SELECT keeper_id AS group_id, asset_id, asset_id = keeper_id AS is_keeper FROM m",
+    "group_sizes": f"{ALL_GROUPS} SELECT keeper_id AS group_id, keeper_id, CAST(n AS BIGINT) AS n FROM grouped ORDER BY n DESC, group_id DESC",
+    "sensitivity_distance": "SELECT range AS sensitivity, CASE WHEN range BETWEEN 1 AND 10 THEN range * CAST(0.05 AS DOUBLE) END AS distance FROM range(12)",
+    "squared_distance": """SELECT x.vec_id AS age, list_reduce(list_transform(list_zip(x.embedding, y.embedding), lambda z: CAST((z[1] - z[2]) * (z[1] - z[2]) AS FLOAT)),
+        lambda a, b: CAST(a + b AS FLOAT)) AS distance FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1""",
+    "vector_decode": """SELECT vec_id AS age, CAST(CASE WHEN label <> 0 THEN len(embedding) ELSE 0 END AS INTEGER) AS n,
+        CASE WHEN label <> 0 THEN CAST(embedding[1] AS FLOAT) END AS first FROM embeddings""",
+    "index_upsert": """SELECT doc_id AS asset_id, CAST(-n_chars AS INTEGER) AS quality FROM documents
+        UNION ALL SELECT doc_id, CAST(quality AS INTEGER) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
+    "index_stream": "SELECT doc_id AS asset_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE n_chars >= 500)",
+    "index_exists": "SELECT count(*) > 0 AS has_index FROM labels",
+    "index_exists_empty": "SELECT false AS has_index",
     "index_pending": "SELECT doc_id AS asset_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "index_indexed": "SELECT doc_id AS asset_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "index_purge": "SELECT doc_id AS asset_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE n_chars >= 500)",

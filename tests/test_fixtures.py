@@ -73,8 +73,9 @@ def test_groups_by_size_then_keeper(spark):
 
 
 def test_preview_has_keeper_first(spark):
-    g = spark.createDataFrame([(6, list(range(1, 11)), 6, 10)], "group_id long, asset_ids array<long>, keeper_id long, n int")
-    assert duplicates.group_previews(g).first()["preview"] == [6, 1, 2, 3, 4, 5, 7, 8]
+    rows = spark.createDataFrame([(1, 10, 6, i, 1, i) for i in range(1, 11)], "component long, c long, keeper_id long, asset_id long, quality long, age long")
+    assert duplicates.group_previews(rows).first()["preview"] == [6, 1, 2, 3, 4, 5, 7, 8]
+    assert duplicates.group_members(rows).where("is_keeper").collect() == [(6, 6, True)] and duplicates.group_sizes(rows).collect() == [(6, 6, 10)]
 
 
 @pytest.mark.parametrize("threshold", [0.2, 0.6, 3.0])
@@ -194,7 +195,8 @@ def test_confirm_delete(spark):
     a = spark.createDataFrame([(1, DAY, "image"), (2, DAY, "image"), (3, DAY, "image")], ASSET)
     res = spark.createDataFrame([(1, 10), (1, 5), (2, 7), (9, 100)], "asset_id long, file_size long")
     marks = spark.createDataFrame([(1,), (2,), (9,)], "asset_id long")
-    stay, record = decisions.confirm_delete(a, res, marks)
+    stay, record, forgotten = decisions.confirm_delete(a, res, marks)
+    assert sorted(tuple(r) for r in forgotten.collect()) == [(i, "forget") for i in (1, 2, 9)]
     assert [r["asset_id"] for r in stay.collect()] == [3] and [tuple(r) for r in record.collect()] == [(3, 22)]
     assert decisions.confirm_delete(a, res, marks.where("asset_id = 9"))[1].count() == 0
 
@@ -254,3 +256,60 @@ def test_snapshots(spark, tmp_path):
     assert [tuple(r) for r in readers.read_table(spark, path, "size_cache").collect()] == [("a", 5)]
     with pytest.raises(Exception):
         readers.write_snapshot(rows, path)
+
+
+@pytest.mark.parametrize("tile", [8192, 7])
+def test_similarity_join_by_cells_and_tiles(spark, monkeypatch, tile):
+    from assetloom.operators import similarity
+
+    monkeypatch.setattr(similarity, "TILE", tile)
+    rng = random.Random(9)
+    rows = [(f"id{i:03d}", [rng.random() for _ in range(2 + i % 3)], 1, i) for i in range(180)] + [("n1", [float("nan"), 0.0], 1, 1), ("n2", [None, 0.0], 1, 1), ("n3", [float("inf"), 0.0], 1, 1)]
+    frame = spark.createDataFrame(rows, "asset_id string, embedding array<float>, quality long, age long")
+    for threshold in (0.15, 0.7):
+        got = [tuple(r) for r in similar_pairs(frame, threshold).collect()]
+        want = {
+            (a[0], b[0]) for a in rows[:180] for b in rows[:180]
+            if a[0] < b[0] and len(a[1]) == len(b[1]) and sum((x - y) ** 2 for x, y in zip(a[1], b[1])) < threshold**2
+        }
+        assert set(got) == want and len(got) == len(want)
+    assert similar_pairs(frame, 0.0).count() == 0
+
+
+@pytest.mark.parametrize("rows", [3, 100_000])
+def test_ranges_of_an_order(spark, rows):
+    from assetloom.operators import ordered
+    from assetloom.storage import Scratch
+
+    rng = random.Random(rows)
+    given = [(rng.choice("abc"), rng.randrange(10**12) * 7, rng.choice(["keep", "mark", "spare", "clear"])) for _ in range(60)]
+    log = spark.createDataFrame(given, "deck string, seq long, op string")
+    out = ordered.with_previous(log, Scratch(spark, "t"), ["deck", "seq"], ["deck", "op"], "before", rows).collect()
+    ordered_rows = sorted(given)
+    want = {x[1]: (y[0], y[2]) for y, x in zip(ordered_rows, ordered_rows[1:])}
+    assert {r["seq"]: tuple(r["before"]) if r["before"] else None for r in out} == {x[1]: want.get(x[1]) for x in given}
+    valid = {r["seq"]: r["valid"] for r in decisions.undo_validity(log, "deck", range_rows=rows).collect()}
+    relevant = [x for x in ordered_rows if x[2] != "spare"]
+    assert valid == {x[1]: i > 0 and relevant[i - 1][0] == x[0] and relevant[i - 1][2] in ("keep", "mark") for i, x in enumerate(relevant) if x[2] == "clear"}
+    sums = activity.with_running_total(spark.createDataFrame([(s, s % 100) for _, s, _ in given], "seq long, bytes_freed long"), rows)
+    got = [r["total_bytes"] for r in sums.collect()]
+    total, want = 0, []
+    for s in sorted(x[1] for x in given):
+        total += s % 100
+        want.append(total)
+    assert got == want[::-1]
+
+
+def test_failed_delete_changes_nothing(spark):
+    a = spark.createDataFrame([(1, DAY, "image")], ASSET)
+    done = decisions.confirm_delete(a, spark.createDataFrame([(1, 5)], "asset_id long, file_size long"), spark.createDataFrame([(9,)], "asset_id long"))
+    assert done.survivors.count() == 1 and done.record.count() == 0 == done.forgotten.count()
+
+
+def test_old_snapshots_go(spark, tmp_path):
+    source, state = str(tmp_path / "log"), str(tmp_path / "state")
+    for k in range(5):
+        spark.createDataFrame([(k, k, "keep")], "seq long, asset_id long, op string").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("seq long, asset_id long, op string").parquet(source)
+        refresh.stream_decisions(stream, state, str(tmp_path / "progress")).awaitTermination()
+    assert refresh.stored(spark, state) == [3, 4] and refresh.state_of(refresh.latest(spark, state)).where("reviewed").count() == 5
