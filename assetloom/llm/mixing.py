@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from assetloom.operators.ordered import running_sums
 from assetloom.storage import Scratch
 
 WORD = r"[^\x20\x09-\x0D]++"
@@ -39,20 +40,12 @@ FEW_SOURCES = 100_000
 def _prefix(frame: DataFrame, scratch: Scratch, n: int, order: list[Column], **sums: Column) -> DataFrame:
     """``frame`` with running sums, the row's own included, in the given order.
 
-    Beyond ``FEW_SOURCES`` rows the order is cut into ranges; sums of whole
-    ranges, at most one row for each ``FEW_SOURCES``, give each its offset.
+    Beyond ``FEW_SOURCES`` rows, ranges of the order share the work.
     """
     if n <= FEW_SOURCES:
         upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return frame.select("*", *[F.sum(c).over(upto).alias(k) for k, c in sums.items()])
-    parts = -(-n // FEW_SOURCES)
-    ranged = scratch.save(frame.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
-    offsets = totals.select(F.col("_part").alias("_of"), *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums])
-    upto = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = ranged.join(F.broadcast(offsets), F.col("_part") == F.col("_of"))
-    return inside.select(*frame.columns, *[(F.sum(c).over(upto) + F.col(f"_{k}")).alias(k) for k, c in sums.items()])
+    return running_sums(frame, scratch, order, FEW_SOURCES, **sums)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:

@@ -36,6 +36,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from assetloom.llm.arrow import map_chunks, utf8
 from assetloom.operators.components import connected_components
+from assetloom.operators.joins import split_join
 from assetloom.storage import Scratch
 
 SHINGLE = 5
@@ -53,8 +54,8 @@ SMALL_BUCKET = 32
 TILE_ROWS, TILE_OUTSIDE = 250_000, 250_000
 #: Ids, or keys of hot groups, up to this number may be broadcast (16 bytes each); more go through a shuffle.
 BROADCAST_IDS = 500_000
-#: Rows of a key beyond which a join deals them to several parts; parts of every key where hot keys are too many to broadcast.
-HOT, SALTS = 512, 16
+#: Rows of a key beyond which a join deals them to several parts.
+HOT = 512
 WORD_CACHE = 100_000
 
 _rng = np.random.default_rng(20)
@@ -243,30 +244,6 @@ def _tile_links(threshold: int):
     return run
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
-    """Joins each row with its key's only row in ``right``, where ``c`` is the key's number of rows.
-
-    Keys with more than ``HOT`` rows are dealt to parts by the column ``by``,
-    so that none fills a task. ``right`` should be a stored table, since it is
-    read more than once. ``salt`` is the part.
-    """
-    hot = right.where(F.col("c") > HOT).select(F.col(key).alias("_hot"), _parts(F.col("c")).alias("_parts"))
-    n = hot.count()
-    parts, given = F.lit(1), left
-    if n > BROADCAST_IDS:
-        parts = F.lit(SALTS)
-    elif n:
-        given, parts = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left"), F.coalesce("_parts", F.lit(1))
-    given = given.withColumn("salt", F.pmod(F.xxhash64(by), parts).cast("int")).select(*left.columns, "salt")
-    last = (F.lit(SALTS) if n > BROADCAST_IDS else _parts(F.col("c"))) - 1
-    spread = right.withColumn("salt", F.explode(F.sequence(F.lit(0), last.cast("int"))))
-    return given.join(spread, [key, "salt"])
-
-
-def _parts(rows: Column) -> Column:
-    return F.when(rows > HOT, F.ceil(rows / HOT)).otherwise(F.lit(1)).cast("int")
-
-
 def _salts() -> list[Column]:
     """With a bucket's other aggregates: the highest part that its rows are in."""
     return [F.max("salt").alias("salt")]
@@ -297,7 +274,7 @@ class _Join:
         rows = map_chunks(self.classes.select("nid", "sketch"), _band_step, "key long, nid long")
         counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
         counts = self.scratch.save(counts, "counts")
-        live = self.scratch.save(split_join(rows, counts, "key", "nid"), "buckets")
+        live = self.scratch.save(split_join(rows, counts, "key", "nid", HOT, BROADCAST_IDS), "buckets")
         self.scratch.drop(counts)
         return live
 
@@ -345,7 +322,7 @@ class _Join:
             F.ceil(F.sum("n") / TILE_ROWS).cast("int").alias("rt"), F.count(F.lit(1)).alias("c"),
         )
         tiles = self.scratch.save(tiles, "tiles")
-        sized = split_join(members, tiles, "main", "nid").drop("salt", "c")
+        sized = split_join(members, tiles, "main", "nid", HOT, BROADCAST_IDS).drop("salt", "c")
         wide = sized.join(self.sets_of(members.select("nid").distinct(), "large"), "nid")
         spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         part = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "nid"), F.col(n)).cast("int")
@@ -413,7 +390,7 @@ class _Join:
         names = ["set_key", "component", "component_id"]
         alone = self.classes.join(comps, F.col("nid") == F.col("node"), "left_anti")
         alone = alone.select("set_key", F.col("nid").alias("component"), F.col("rep").alias("component_id"))
-        by_class = split_join(linked, least, "component", "nid").select(*names).unionByName(alone)
+        by_class = split_join(linked, least, "component", "nid", HOT, BROADCAST_IDS).select(*names).unionByName(alone)
         by_class = Scratch(self.docs.sparkSession, "near-classes").save(by_class, "by-class")
         self.by_class = by_class
         self.scratch.clear(self.sketched)

@@ -79,11 +79,10 @@ def test_split_buckets(spark, monkeypatch, ids):
     assert got(frame, shingle=2) == plain(rows, 2)
 
 
-def test_split_join(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "HOT", 5)
+def test_split_join(spark):
     left = spark.createDataFrame([(1, i) for i in range(40)] + [(2, i) for i in range(3)] + [(3, 1)], "key long, nid long")
     right = spark.createDataFrame([(1, 40, "a"), (2, 3, "b")], "key long, c long, x string")
-    out = near_dedup.split_join(left, right, "key", "nid").collect()
+    out = near_dedup.split_join(left, right, "key", "nid", hot=5).collect()
     assert sorted((r["key"], r["nid"], r["x"]) for r in out) == [(1, i, "a") for i in range(40)] + [(2, i, "b") for i in range(3)]
     assert {r["salt"] for r in out if r["key"] == 1} == set(range(8)) and {r["salt"] for r in out if r["key"] == 2} == {0}
 
