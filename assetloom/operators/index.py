@@ -33,6 +33,11 @@ def has_index(index: DataFrame) -> bool:
     return not index.isEmpty()
 
 
+def point(index: DataFrame, asset_id) -> DataFrame:
+    """The row of one asset, if there is one; the key reaches the scan."""
+    return index.where(F.col("asset_id") == asset_id)
+
+
 def exists(index: DataFrame) -> DataFrame:
     """One row: whether the index has any."""
     return index.limit(1).agg((F.count(F.lit(1)) > 0).alias("has_index"))

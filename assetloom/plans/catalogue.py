@@ -368,6 +368,11 @@ def index_stream(spark, d):
     return refresh.latest(spark, f"{scratch.base}/index")
 
 
+@query
+def index_point(spark, d):
+    return index.point(_labelled(spark, d), 42).select("asset_id", "quality")
+
+
 @query
 def index_exists(spark, d):
     return index.exists(_labelled(spark, d))

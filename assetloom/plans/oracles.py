@@ -99,6 +99,7 @@ ORACLES = {
     "index_upsert": """SELECT doc_id AS asset_id, CAST(-n_chars AS INTEGER) AS quality FROM documents
         UNION ALL SELECT doc_id, CAST(quality AS INTEGER) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
     "index_stream": "SELECT doc_id AS asset_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE n_chars >= 500)",
+    "index_point": "SELECT doc_id AS asset_id, quality FROM labels WHERE doc_id = 42",
     "index_exists": "SELECT count(*) > 0 AS has_index FROM labels",
     "index_exists_empty": "SELECT false AS has_index",
     "index_pending": "SELECT doc_id AS asset_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,22 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[context.applicationId]
 
 
+#: Scratches made since each open ``cleared`` began.
+_WATCHED: list[list[Scratch]] = []
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, all tables of the scratches made inside; results must be stored elsewhere by then."""
+    made: list[Scratch] = []
+    _WATCHED.append(made)
+    try:
+        yield
+    finally:
+        _WATCHED[:] = [x for x in _WATCHED if x is not made]
+        remove(spark, *[scratch.base for scratch in made])
+
+
 class Scratch:
     """Writes intermediate results as Parquet and rereads them, which cuts lineage.
 
@@ -41,6 +59,8 @@ class Scratch:
         self.base = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
         self.tables: list[str] = []
+        for made in _WATCHED:
+            made.append(self)
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.count += 1

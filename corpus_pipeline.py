@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from assetloom.llm import mixing, near_dedup, packing, secrets, toxicity
 from assetloom.llm.queries import table, tokenizer_path
-from assetloom.storage import Scratch
+from assetloom.storage import Scratch, cleared
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +74,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        out = scratch.save(stage(spark, docs, sf_dir), "stage")
+        with cleared(spark):  # a stage's own tables go once its result is written
+            out = scratch.save(stage(spark, docs, sf_dir), "stage")
         if k:
             scratch.drop(docs)
         docs = out
