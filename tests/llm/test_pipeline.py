@@ -49,6 +49,15 @@ def test_run_is_registered(spark):
     assert out.count() > 0 and {"doc_id", "sequence_id", "ids"} <= set(out.columns)
 
 
+def test_run_leaves_its_result_alone(spark, tmp_path, monkeypatch):
+    from assetloom import storage
+
+    monkeypatch.setattr(storage, "shared_root", lambda _: str(tmp_path))
+    out = corpus_pipeline.run(spark, SF)
+    tables = [p for p in tmp_path.rglob("*") if p.is_dir() and any(p.glob("*.parquet"))]
+    assert len(tables) == 1 and out.count() > 0
+
+
 def stage(name):
     return dict(corpus_pipeline.STAGES)[name]
 
