@@ -36,8 +36,9 @@ SHARD_TOKENS = 2_000_000
 SHARD_DOCS = 60_000
 #: Neighbours that are ranked first; further ones when these are used.
 NEIGHBOURS = 16
-#: Share of the documents from which a term's postings are kept as a row.
-DENSE = 0.2
+#: Share of the documents from which a term's postings are kept as a row; the
+#: rows have at most 1 / DENSE as many numbers as the shard has postings.
+DENSE = 0.05
 K1, B = 1.2, 0.75
 
 #: Part of a shard that the plan fills where a key is dealt out by hash.
@@ -104,7 +105,9 @@ class Bm25Shard:
         terms = self.terms[self.begin[doc] : self.begin[doc + 1]]
         rows = self.dense_row[terms]
         parts = [slice(self.post_begin[t], self.post_begin[t + 1]) for t in terms[rows < 0].tolist()]
-        out = self.dense[rows[rows >= 0]].sum(axis=0, dtype=np.float32).astype(np.float64)
+        has = np.zeros(len(self.dense), np.float32)
+        has[rows[rows >= 0]] = 1
+        out = (has @ self.dense).astype(np.float64)
         if parts:
             hit = np.concatenate([self.post_docs[p] for p in parts])
             out += np.bincount(hit, np.concatenate([self.post_weight[p] for p in parts]), self.n)
@@ -194,16 +197,29 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | No
     return out
 
 
+#: Rows of the encoded table: documents, and each task's document frequencies.
+DOCUMENT, STATISTICS = 0, 1
+
+
 def _encoder(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(path)
         end = np.uint16(end_id)
+        df, held, docs, tokens = np.zeros(0x10000, np.int64), [], 0, 0
+        rows = lambda kind, names, ids: pa.RecordBatch.from_arrays([pa.array([kind] * len(names), pa.int32()), names, pa.array(ids, pa.binary())], names=["kind", "doc_id", "ids"])
         for table in _grouped(batches, STEP_BYTES):
             texts, names = table["text"].combine_chunks(), table["doc_id"].combine_chunks()
             for begin, stop in steps(texts):
                 flat, ends = pieces.encode(texts.slice(begin, stop - begin))
-                own = [np.append(flat[ends[i] : ends[i + 1]], end).astype("<u2").tobytes() for i in range(stop - begin)]
-                yield pa.RecordBatch.from_arrays([names.slice(begin, stop - begin), pa.array(own, pa.binary())], names=["doc_id", "ids"])
+                own = [np.append(flat[ends[i] : ends[i + 1]], end).astype("<u2") for i in range(stop - begin)]
+                for at in range(0, len(own), CHUNK_ROWS):
+                    df += np.bincount(term_counts(own[at : at + CHUNK_ROWS])[1], minlength=0x10000)
+                docs, tokens = docs + len(own), tokens + int(ends[-1]) + len(own)
+                yield rows(DOCUMENT, names.slice(begin, stop - begin), [x.tobytes() for x in own])
+        if docs:
+            terms = np.flatnonzero(df)
+            found = np.concatenate([[-1, docs, -2, tokens], np.stack([terms, df[terms]], axis=1).ravel()])
+            yield rows(STATISTICS, pa.array([None], pa.int64()), [found.astype("<i8").tobytes()])
         give_back()
 
     return run
@@ -229,21 +245,18 @@ def _held(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
         yield [np.frombuffer(x, "<u2") for x in ids.slice(at, CHUNK_ROWS).to_pylist()]
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document frequency by term; term -1 has the documents, -2 the tokens."""
-    df = np.zeros(0x10000, np.int64)
-    docs = tokens = 0
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a term and its document frequency; term -1 has the documents, -2 the tokens."""
     for batch in batches:
-        for some in _held(batch):
-            df += np.bincount(term_counts(some)[1], minlength=0x10000)
-            docs, tokens = docs + len(some), tokens + sum(map(len, some))
-    terms = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, [-1, -2])), pa.array(np.append(df[terms], [docs, tokens]))], names=["term", "df"])
+        for found in batch.column(batch.schema.get_field_index("ids")).to_pylist():
+            term, df = np.frombuffer(found, "<i8").reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(df)], names=["term", "df"])
 
 
 def corpus_of(encoded: DataFrame) -> Corpus:
     """Statistics of all documents; at most one row for each id of the vocabulary reaches the driver."""
-    rows = encoded.select("ids").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    parts = encoded.where(F.col("kind") == STATISTICS).select("ids").mapInArrow(_pairs, "term long, df long")
+    rows = parts.groupBy("term").agg(F.sum("df").alias("df")).collect()
     found = {r["term"]: r["df"] for r in rows}
     df = np.zeros(0x10000, np.int64)
     for term, n in found.items():
@@ -261,16 +274,14 @@ def keys(docs: list[np.ndarray], corpus: Corpus) -> np.ndarray:
     return terms[order][np.searchsorted(owners[order], np.arange(len(docs)))].astype(np.int64)
 
 
-def _loads(corpus: Corpus):
+def _keyed(corpus: Corpus):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, tokens = np.zeros(0x10000, np.int64), np.zeros(0x10000, np.int64)
         for batch in batches:
-            for some in _held(batch):
-                of = keys(some, corpus)
-                docs += np.bincount(of, minlength=0x10000)
-                np.add.at(tokens, of, [len(d) for d in some])
-        found = np.flatnonzero(docs)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(docs[found]), pa.array(tokens[found])], names=["key", "docs", "tokens"])
+            some = [x for part in _held(batch) for x in part]
+            of = np.concatenate([keys(some[at : at + CHUNK_ROWS], corpus) for at in range(0, len(some), CHUNK_ROWS)] or [np.empty(0, np.int64)])
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "ids")]
+            yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), pa.array([len(x) for x in some], pa.int64()), *columns], names=["key", "n", "doc_id", "ids"])
+        give_back()
 
     return run
 
@@ -294,18 +305,6 @@ def shard_plan(loads: list[tuple[int, int, int]], shard_tokens: int, shard_docs:
     return first, parts, int(total)
 
 
-def _assigner(corpus: Corpus, first: np.ndarray, parts: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            salts = np.asarray(batch.column(batch.schema.get_field_index("salt")))
-            of = np.concatenate([keys(some, corpus) for some in _held(batch)] or [np.empty(0, np.int64)])
-            shards = first[of] + salts % parts[of]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "ids")]
-            yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), *columns], names=["shard", "doc_id", "ids"])
-
-    return run
-
-
 def _packer(corpus: Corpus, window: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
@@ -357,15 +356,19 @@ def pack(
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "packing")
-    encoded = scratch.save(given.mapInArrow(_encoder(tokenizer, end_id), "doc_id long, ids binary"), "encoded")
+    encoded = scratch.save(given.mapInArrow(_encoder(tokenizer, end_id), "kind int, doc_id long, ids binary"), "encoded")
     corpus = corpus_of(encoded)
-    loads = encoded.select("ids").mapInArrow(_loads(corpus), "key long, docs long, tokens long")
-    loads = loads.groupBy("key").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).collect()
+    documents = encoded.where(F.col("kind") == DOCUMENT).select("doc_id", "ids")
+    keyed = scratch.save(documents.mapInArrow(_keyed(corpus), "key int, n long, doc_id long, ids binary"), "keyed")
+    scratch.drop(encoded)
+    loads = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens")).collect()
     first, parts, total = shard_plan([tuple(r) for r in loads], shard_tokens)
+    # a row for each term of the vocabulary that is a key
+    plan = docs.sparkSession.createDataFrame([(r["key"], int(first[r["key"]]), int(parts[r["key"]])) for r in loads], "key int, first long, parts long")
     # rows without an id are told apart by their place
     salt = F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id())).bitwiseAND(F.lit((1 << 62) - 1))
-    salted = encoded.select("doc_id", "ids", salt.alias("salt"))
-    dealt = salted.mapInArrow(_assigner(corpus, first, parts), "shard int, doc_id long, ids binary")
+    shard = (F.col("first") + salt % F.col("parts")).cast("int").alias("shard")
+    dealt = keyed.join(F.broadcast(plan), "key").select(shard, "doc_id", "ids")
     dealt = dealt.repartitionById(max(1, total), "shard").sortWithinPartitions("shard", "doc_id", F.xxhash64("ids"))
     return dealt.mapInArrow(_packer(corpus, window, shard_tokens), PIECES)
 

@@ -129,9 +129,11 @@ def test_shards_are_of_contents(spark, pieces):
 def test_statistics_are_of_the_table(spark):
     rows = [(i, f"common word{i}") for i in range(40)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
-    encoded = frame.mapInArrow(packing._encoder(PATH, 1), "doc_id long, ids binary")
+    encoded = frame.mapInArrow(packing._encoder(PATH, 1), "kind int, doc_id long, ids binary")
     corpus = packing.corpus_of(encoded)
     assert corpus.docs == 40 == corpus.df.max() and corpus.df[1] == 40
+    ids = [np.frombuffer(r["ids"], "<u2") for r in encoded.where("kind = 0").collect()]
+    assert corpus.tokens == sum(map(len, ids)) and corpus.df.sum() == sum(len(set(x.tolist())) for x in ids)
 
 
 def test_shard_plan():
