@@ -270,8 +270,12 @@ def keys(docs: list[np.ndarray], corpus: Corpus) -> np.ndarray:
     owners, terms, counts = term_counts(docs)
     sizes = np.array([len(d) for d in docs], np.int64)
     weight = corpus.idf()[terms] * counts / (counts + corpus.norm(sizes)[owners])
-    order = np.lexsort((terms, -weight, corpus.df[terms] < 2, owners))
-    return terms[order][np.searchsorted(owners[order], np.arange(len(docs)))].astype(np.int64)
+    weight[corpus.df[terms] > 1] += 1e6
+    order = np.argsort(owners, kind="stable")  # by term within a document, so the first of the weightiest counts
+    owners, weight = owners[order], weight[order]
+    begin = np.searchsorted(owners, np.arange(len(docs) + 1))
+    top = np.flatnonzero(weight == np.repeat(np.maximum.reduceat(weight, begin[:-1]), np.diff(begin)))
+    return terms[order[top[np.searchsorted(top, begin[:-1])]]].astype(np.int64)
 
 
 def _keyed(corpus: Corpus):
