@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 #: Pre-tokens, and as many other chunks, that a worker remembers before it starts anew with those in use.
 CACHE = 300_000
 #: Bytes of text that are encoded at once.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 
 _PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]*$"
 _CUT = r"([0-9]|[^a-zß-öø-ÿ0-9]+)"
@@ -30,11 +30,14 @@ _CUT = r"([0-9]|[^a-zß-öø-ÿ0-9]+)"
 def gather(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenates the slices ``which`` of a ragged array; also their new offsets."""
     starts = offsets[which]
-    sizes = offsets[which + 1] - starts
-    ends = np.concatenate(([0], np.cumsum(sizes)))
+    sizes = offsets[which + 1]
+    sizes -= starts
+    ends = np.zeros(len(which) + 1, np.int64)
+    np.cumsum(sizes, out=ends[1:])
+    starts -= ends[:-1]
     kind = np.int32 if max(ends[-1], len(flat)) < 1 << 31 else np.int64  # half the memory where it is enough
-    at = np.arange(ends[-1], dtype=kind)
-    at += np.repeat((starts - ends[:-1]).astype(kind), sizes)
+    at = np.repeat(starts.astype(kind), sizes)
+    at += np.arange(ends[-1], dtype=kind)
     return flat[at], ends
 
 
@@ -156,6 +159,7 @@ class WordPieces:
         """Ids of all texts in a row, and the offsets of each text's ids; null is empty."""
         words, ends = _lists(pc.ascii_split_whitespace(pc.fill_null(texts, "")))
         coded = words.dictionary_encode()
+        del words
         flat, chunk_ends = self._chunks(coded.dictionary)
         ids, word_ends = gather(flat, chunk_ends, np.asarray(coded.indices))
         return ids, word_ends[ends]
