@@ -6,6 +6,8 @@ from pyspark.sql import Column, functions as F
 
 SENSITIVITY_STEP = 0.05
 SWIPE_REACH = 120
+#: Whole numbers beyond 64 bits.
+WHOLE = "decimal(38,0)"
 
 
 def is_video(media_type: Column) -> Column:
@@ -57,16 +59,24 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def byte_label(size: Column) -> Column:
-    """A file size in decimal units: none, one and two decimals from KB, MB and GB up."""
-    whole = size.cast("bigint")
-    tenths = F.floor((whole + 50_000) / 100_000).cast("bigint")
-    hundredths = F.floor((whole + 5_000_000) / 10_000_000).cast("bigint")
+    """A file size in decimal units: none, one and two decimals from KB, MB and GB up.
+
+    Units are powers of ten, so half a unit of the last place is added and the
+    digits are cut: exact, and for sizes beyond 64 bits too.
+    """
+    whole = F.floor(size).cast(WHOLE)
+
+    def cut(half: int, unit: int, decimals: int) -> list[Column]:
+        digits = (whole + half).cast("string")
+        parts = [F.left(digits, F.length(digits) - unit)]
+        return parts + ([F.lit("."), F.substring(digits, -unit, decimals)] if decimals else [])
+
     return (
         F.when(whole == 1, F.lit("1 byte"))
         .when(whole < 1_000, F.concat(whole.cast("string"), F.lit(" bytes")))
-        .when(whole < 999_500, F.concat(F.floor((whole + 500) / 1_000).cast("string"), F.lit(" KB")))
-        .when(whole < 999_950_000, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" MB")))
-        .otherwise(F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"), F.lit(" GB")))
+        .when(whole < 999_500, F.concat(*cut(500, 3, 0), F.lit(" KB")))
+        .when(whole < 999_950_000, F.concat(*cut(50_000, 6, 1), F.lit(" MB")))
+        .otherwise(F.concat(*cut(5_000_000, 9, 2), F.lit(" GB")))
     )
 
 

@@ -436,7 +436,9 @@ def pixel_area(spark, d):
 @query
 def byte_label(spark, d):
     assets = carriers.assets(spark, d)
-    return assets.select("asset_id", scalars.byte_label(F.col("asset_id") * F.col("asset_id") * F.col("asset_id")).alias("label"))
+    # the cube of an id above 2,097,151 is beyond 64 bits; decimals hold those of ids up to 4.6e12
+    factor = F.col("asset_id").cast("decimal(19,0)")
+    return assets.select("asset_id", scalars.byte_label((factor * factor).cast(scalars.WHOLE) * F.col("asset_id")).alias("label"))
 
 
 @query

@@ -249,6 +249,13 @@ def test_scalars(spark):
         scalars.sensitivity_threshold(11)
 
 
+def test_byte_label_is_exact(spark):
+    """Just below a multiple of the unit a double would round up."""
+    sizes = [9_007_199_999_999_999 // 10_000_000 * 10_000_000 + 4_999_999, 9_000_000_000_004_999_999, None]
+    rows = spark.createDataFrame([(x,) for x in sizes], "size long").select(scalars.byte_label(F.col("size")).alias("label")).collect()
+    assert [r["label"] for r in rows] == ["9007199.99 GB", "9000000000.00 GB", None]
+
+
 def test_snapshots(spark, tmp_path):
     rows = spark.createDataFrame([("a", 5)], "asset_id string, bytes long")
     path = str(tmp_path / "sizes")
