@@ -44,6 +44,18 @@ def give_back() -> None:
         pass  # another C library
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """The driver's rows as a DataFrame that only the JVM handles.
+
+    From a list of rows Spark would make an RDD of pickles, which a second
+    Python daemon on every executor converts; its workers stay.
+    """
+    kind = _parse_datatype_string(schema)
+    columns = list(zip(*rows)) or [()] * len(kind)
+    arrow = to_arrow_schema(kind)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), kind)
+
+
 def utf8(column) -> list[bytes]:
     """A string column as UTF-8 bytes; null as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from assetloom.llm.arrow import local_table
 from assetloom.storage import Scratch
 
 #: Bytes of all texts of a sample at most.
@@ -31,7 +32,7 @@ def labelled_sample(
     named = train.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     there = named.join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
-    ids = spark.createDataFrame(chosen, "doc_id long, label int")
+    ids = local_table(spark, chosen, "doc_id long, label int")
     scratch = Scratch(spark, "labelled")
     text = F.coalesce("text", F.lit("")).alias("text")
     rows = scratch.save(docs.select("doc_id", text).join(F.broadcast(ids), "doc_id"), "rows")
@@ -41,7 +42,7 @@ def labelled_sample(
         if r["size"] <= left:
             left -= r["size"]
             taken.append((r["doc_id"], r["of"]))
-    kept = spark.createDataFrame(taken, "doc_id long, of long")
+    kept = local_table(spark, taken, "doc_id long, of long")
     found = rows.withColumn("of", F.xxhash64("text")).join(F.broadcast(kept), ["doc_id", "of"]).dropDuplicates(["doc_id", "of"])
     found = found.select(F.xxhash64("doc_id").alias("place"), "doc_id", "of", "text", "label").toArrow().sort_by(
         [("place", "ascending"), ("doc_id", "ascending"), ("of", "ascending")]

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assetloom.llm.arrow import CHUNK_ROWS, bound_batches, give_back
+from assetloom.llm.arrow import CHUNK_ROWS, bound_batches, give_back, local_table
 from assetloom.llm.wordpieces import STEP_BYTES, pieces_of, steps
 from assetloom.storage import Scratch
 
@@ -280,6 +280,7 @@ def keys(docs: list[np.ndarray], corpus: Corpus) -> np.ndarray:
 
 def _keyed(corpus: Corpus):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces_of.cache_clear()  # all texts are encoded, and workers outlive their stage
         for batch in batches:
             some = [x for part in _held(batch) for x in part]
             of = np.concatenate([keys(some[at : at + CHUNK_ROWS], corpus) for at in range(0, len(some), CHUNK_ROWS)] or [np.empty(0, np.int64)])
@@ -368,7 +369,7 @@ def pack(
     loads = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens")).collect()
     first, parts, total = shard_plan([tuple(r) for r in loads], shard_tokens)
     # a row for each term of the vocabulary that is a key
-    plan = docs.sparkSession.createDataFrame([(r["key"], int(first[r["key"]]), int(parts[r["key"]])) for r in loads], "key int, first long, parts long")
+    plan = local_table(docs.sparkSession, [(r["key"], int(first[r["key"]]), int(parts[r["key"]])) for r in loads], "key int, first long, parts long")
     # rows without an id are told apart by their place
     salt = F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id())).bitwiseAND(F.lit((1 << 62) - 1))
     shard = (F.col("first") + salt % F.col("parts")).cast("int").alias("shard")

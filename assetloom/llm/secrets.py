@@ -26,7 +26,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from assetloom.llm.arrow import map_chunks, utf8
+from assetloom.llm.arrow import local_table, map_chunks, utf8
 from assetloom.llm.automata import Automaton, infer
 from assetloom.storage import Scratch
 
@@ -185,7 +185,7 @@ def _sample(values: DataFrame, size: int, most_bytes: int = SAMPLE_BYTES) -> lis
         if r["size"] <= left or not taken:
             left -= r["size"]
             taken.append((r["of"],))
-    chosen = F.broadcast(values.sparkSession.createDataFrame(taken, "of long"))
+    chosen = F.broadcast(local_table(values.sparkSession, taken, "of long"))
     rows = distinct.withColumn("of", F.xxhash64("value")).join(chosen, "of").select("value").collect()
     return sorted(r["value"] for r in rows)
 

@@ -6,7 +6,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from assetloom.llm import packing, queries, wordpieces
+from assetloom.llm import packing, queries, secrets, wordpieces
+from assetloom.llm.arrow import local_table
+from assetloom.llm.labelled import labelled_sample
+from assetloom.llm.wordpieces import pieces_of
 
 PATH = queries.tokenizer_path("word_bpe_49k.json")
 ODD = [
@@ -168,3 +171,32 @@ def test_scores_are_of_all_terms():
             for d in docs
         ]
         assert np.allclose(mixed.scores(seed), want, rtol=1e-4)
+
+
+def test_driver_rows_start_no_python(spark):
+    """An RDD of pickled rows would start a second Python daemon on each executor."""
+    found = local_table(spark, [(1, 2), (3, None)], "key int, first long")
+    assert found.dtypes == [("key", "int"), ("first", "bigint")]
+    assert {tuple(r) for r in found.collect()} == {(1, 2), (3, None)}
+    empty = local_table(spark, [], "of long")
+    assert empty.dtypes == [("of", "bigint")] and empty.collect() == []
+    for frame in (found, empty):
+        assert "ExistingRDD" not in frame._jdf.queryExecution().toString()
+
+
+def test_plan_and_samples_start_no_python(spark, monkeypatch):
+    """No stage makes a DataFrame of Python rows."""
+    monkeypatch.setattr(spark, "_createFromLocal", None, raising=False)
+    docs = spark.range(60).selectExpr("id AS doc_id", "concat('token: ab', id, 'cdef', id * 7919, ' text number ', id) AS text")
+    labels = spark.range(60).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
+    assert packing.pack(docs, PATH).agg({"length": "sum"}).first()[0] > 60
+    assert secrets.redact(docs).count() == 60
+    assert len(labelled_sample(docs, labels, "toxic", 5, 0, 100)[0]) > 0
+
+
+def test_encoder_goes_once_all_is_encoded():
+    pieces_of(PATH)
+    assert pieces_of.cache_info().currsize == 1
+    corpus = packing.Corpus(0, 0, np.zeros(0x10000, np.int64))
+    assert list(packing._keyed(corpus)(iter(()))) == []
+    assert pieces_of.cache_info().currsize == 0
